@@ -78,7 +78,6 @@ def string_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         for j in range(k):
             at = first + j
             back[at[at < len(s)]] = 0
-        # a text shorter than the string clears places of the next text that are gaps by its own rule
         out |= back << (5 * k)
     return out, np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
 

@@ -89,11 +89,12 @@ def pattern_codes(v: np.ndarray) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each pattern, vote shares (labeller, good or bad, vote) and the share of good documents.
 
-    Starts from the majority of each pattern's votes, with good above bad kept by that start.
+    Starts from weighted votes in which two bad ones outweigh all good ones: labellers see one kind of fault each, so
+    most of them call a bad document good.
     """
     votes_of = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     hot = np.stack([votes_of == v for v in range(3)], axis=2).astype(np.float64)
-    lead = hot[:, :, GOOD].sum(axis=1) - 1.5 * hot[:, :, BAD].sum(axis=1)
+    lead = 1.5 + 0.1 * hot[:, :, GOOD].sum(axis=1) - 1.5 * hot[:, :, BAD].sum(axis=1)
     posterior = 1 / (1 + np.exp(-np.clip(lead, -8, 8)))
     share, rates = 0.5, np.zeros((len(LABELLERS), 2, 3))
     for _ in range(rounds):
