@@ -11,9 +11,8 @@ darts than short ones.
 Equal texts are one node. Nodes that share a band are candidates. In each shared band every node is
 paired with the band's hub, the member whose bands are shared most; pairs are verified on the exact
 weighted Jaccard similarity and verified links joined to components. A band that then still spans
-several components is searched in blocks of bounded size for the other pairs whose signatures agree
-enough (four standard deviations below the threshold), and these are verified as well, so links
-that do not run through a hub are kept. A pair of similarity 0.8 shares none of the 32 bands of 4 with
+several components is searched in blocks of bounded size for other similar pairs, which are verified on the same
+similarity inside the task, so links that do not run through a hub are kept and no pairs are listed. A pair of similarity 0.8 shares none of the 32 bands of 4 with
 a probability of 5e-8.
 
 Nodes are 64-bit hashes of whole texts. Nulls and texts without words are classes of their own. A null
@@ -207,48 +206,103 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield rest.combine_chunks()
 
 
-def _other_pairs(shared: DataFrame, least: float) -> DataFrame:
-    """Pairs across components inside a band whose signatures agree at `least` of the coordinates; in blocks.
+def _candidates(sig: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarray, i: int, least: float, bands: int = BANDS) -> np.ndarray:
+    """Rows after i, or of the other block, of another component whose signature agrees enough and that share no earlier band with i."""
+    rest = np.arange(i + 1, len(label)) if side[i] == 2 else np.flatnonzero(side == 1)
+    rest = rest[label[rest] != label[i]]
+    if not len(rest):
+        return rest
+    same = sig[rest] == sig[i]
+    rest, same = rest[good := same.mean(axis=1) >= least], same[good]
+    earlier = same.reshape(len(rest), bands, sig.shape[1] // bands).all(axis=2)[:, : no[i]].any(axis=1) if no[i] else np.zeros(len(rest), bool)
+    return rest[~earlier]
+
+
+def _links_in(sig: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarray, node: np.ndarray, bags: list[np.ndarray], least: float, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the components of one piece of work as far as its similar pairs do."""
+    sizes = np.fromiter(map(len, bags), np.int64, len(bags))
+    flat = np.concatenate(bags)
+    new = np.ones(len(flat), bool)
+    first = np.cumsum(sizes) - sizes
+    new[1:] = flat[1:] != flat[:-1]
+    new[first[sizes > 0]] = True
+    number = np.arange(len(flat)) - np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
+    with np.errstate(over="ignore"):
+        _, ids = np.unique(mix64(flat.view(U64) + number.astype(U64) * U64(0xA0761D6478BD642F)), return_inverse=True)
+    mark = np.zeros(int(ids.max()) + 1, np.int32)
+    label, out = label.copy(), []
+    for i in np.flatnonzero(side != 1):
+        rest = _candidates(sig, no, label, side, i, least)
+        if not len(rest):
+            continue
+        mark[ids[first[i] : first[i] + sizes[i]]] = 1
+        n = sizes[rest]
+        at = np.arange(int(n.sum())) + np.repeat(first[rest] - (np.cumsum(n) - n), n)
+        shared = np.add.reduceat(mark[ids[at]], np.cumsum(n) - n)
+        mark[ids[first[i] : first[i] + sizes[i]]] = 0
+        for j in rest[shared >= threshold * (n + sizes[i] - shared) - 1e-9]:
+            if label[j] != label[i]:
+                out.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+    return out
 
-    A band of more than BLOCK_ROWS members is dealt to blocks, and each pair of blocks is one piece of
-    work, so no task holds more than two blocks of a band at once.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+def _pieces(rows: DataFrame, least: float, threshold: float | None) -> DataFrame:
+    """With a threshold the links (a, b) of each piece of work; without it the rows that have a candidate at all."""
+    row_schema = pa.schema([("piece", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("no", pa.int32()), ("side", pa.int32()), ("sig", pa.binary())])
+    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_memory()
         for table in _runs(batches, "piece"):
-            piece, node, label = (table.column(c).to_numpy() for c in ("piece", "node", "label"))
-            side = table.column("side").to_numpy()
+            piece, node, label, no, side = (table.column(c).to_numpy() for c in ("piece", "node", "label", "no", "side"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(piece)]])
-            out: list[np.ndarray] = []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                for i in range(lo, hi):
-                    if side[i] == 1:
-                        continue
-                    rest = np.arange(i + 1, hi) if side[i] == 2 else lo + np.flatnonzero(side[lo:hi] == 1)
-                    rest = rest[label[rest] != label[i]]
-                    rest = rest[(sig[rest] == sig[i]).mean(axis=1) >= least] if len(rest) else rest
-                    if len(rest):
-                        out.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])]))
-            if out:
-                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield record(schema, a, b)
-
+            links, wanted = [], np.zeros(len(node), bool)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                if threshold is not None:
+                    bags = [x.values.to_numpy() for x in table.column("bag").slice(lo, hi - lo)]
+                    links += _links_in(sig[lo:hi], no[lo:hi], label[lo:hi], side[lo:hi], node[lo:hi], bags, least, threshold)
+                else:
+                    for i in np.flatnonzero(side[lo:hi] != 1):
+                        if len(found := _candidates(sig[lo:hi], no[lo:hi], label[lo:hi], side[lo:hi], i, least)):
+                            wanted[lo + i] = True
+                            wanted[lo + found] = True
+            if threshold is None:
+                yield from table.select(row_schema.names).filter(pa.array(wanted)).to_batches()
+            elif links:
+                yield record(link_schema, np.array([min(x) for x in links]), np.array([max(x) for x in links]))
+
+    form = "piece long, node long, label long, no int, side int, sig binary" if threshold is None else "a long, b long"
+    return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, form)
+
+
+def _other_links(shared: DataFrame, bags: DataFrame, threshold: float, t: int) -> DataFrame:
+    """Links across components inside a band that hubs did not find; shared has the open bands with labels and signatures.
+
+    A pair is looked at in the first band it shares, on signatures that agree up to four standard deviations
+    below the threshold, and decided on the bags. Pairs stay inside a task; only links that join two components
+    leave it. A band of more than BLOCK_ROWS members is dealt to blocks, and each pair of blocks is one piece of work, so
+    no task holds more than two blocks of a band at once.
+    """
+    least = max(0.0, threshold - 4 * float(np.sqrt(threshold * (1 - threshold) / t)))
     # side 2: both sides of the pair lie in this block; 0 and 1: the lower and the higher block
     mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)).withColumn("mine", mine).withColumn("other", other)
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     piece = F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other"))
-    dealt = dealt.select(piece.alias("piece"), "node", "label", side.alias("side"), "sig")
-    return dealt.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "a long, b long").distinct()
+    rows = dealt.select(piece.alias("piece"), "node", "label", F.col("no").cast("int").alias("no"), side.cast("int").alias("side"), "sig")
+    wanted = checkpointed(_pieces(rows, least, None))
+    return _pieces(wanted.join(bags, "node"), least, threshold).distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", carry: list[str] | None = None, threshold: float = 0.8, t: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """df's columns (or those in `carry`) with class_id, the least id of the row's class, node and n_links.
 
-    n_links counts the verified links of the row's text to other texts. The text itself is only moved
+    n_links counts the verified links that tie the row's text to other texts of its class. The text itself is only moved
     for nodes that share a band.
     """
     made = {"class_id", "node", "n_links"}
@@ -259,7 +313,7 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", c
     first = checkpointed(ids.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("_first")))
     # every row is signed and copies are dropped after it: moving texts to sign each once would cost more
     signed = checkpointed(_signed(docs.where("_node is not null").select(F.col("_node").alias("node"), F.col(text).alias("text")), t, bands).dropDuplicates(["node"]))
-    all_bands = signed.select(F.explode("bands").alias("band"), "node")
+    all_bands = signed.select(F.posexplode("bands").alias("no", "band"), "node")
     shared = checkpointed(all_bands.join(all_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
     score = shared.groupBy("node").agg(F.sum(F.log("n")).alias("score"))
     hubs = shared.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
@@ -270,12 +324,10 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", c
     bags = checkpointed(_bags(wanted.select(F.col("_node").alias("node"), "text")).dropDuplicates(["node"]))
     links = checkpointed(_verified(hub_pairs, bags, threshold))
     labels = connected_components(links)
-    labelled = shared.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
+    labelled = shared.join(labels, "node", "left").select("band", "no", "node", "n", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
     open_bands = labelled.join(split, "band").join(signed.select("node", "sig"), "node")
-    least = max(0.0, threshold - 4 * float(np.sqrt(threshold * (1 - threshold) / t)))
-    more_pairs = _other_pairs(open_bands, least).join(hub_pairs, ["a", "b"], "left_anti")
-    more = checkpointed(_verified(more_pairs, bags, threshold))
+    more = checkpointed(_other_links(open_bands, bags, threshold, t))
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = connected_components(links)
