@@ -20,10 +20,17 @@ carried; columns named like the results are replaced.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import WORD_PATTERN, checkpointed
+from .arrow_text import WORD_PATTERN, checkpointed, column
+
+RESULTS = ("size", "source_size", "target", "taken", "full_turns", "last_words")
 
 GOLDEN = 2654435769
 RING = 1 << 32
@@ -81,7 +88,7 @@ def source_schedule(spark, targets: DataFrame, total: int, block: int) -> DataFr
     return ranked.join(counts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p"))).select("slot", "_source", (F.col("_before") + F.col("_r")).alias("rank"))
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", carry: list[str] | None = None, block: int | None = None, max_repeat: int = 3) -> DataFrame:
+def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", carry: list[str] | None = None, block: int | None = None, max_repeat: int = 3, _keys: bool = False) -> DataFrame:
     """df's columns (or those in `carry`) with size, source_size, target, taken, full_turns and last_words.
 
     taken = full_turns * size + last_words, where last_words is how many words of the document the last,
@@ -89,8 +96,14 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str =
     """
     made = {"size", "source_size", "target", "taken", "full_turns", "last_words"}
     carry = [c for c in (df.columns if carry is None else carry) if c not in made]
-    key = F.xxhash64(F.col(row_id), F.lit(41))
-    sized = checkpointed(df.select(*carry, F.col(source).alias("_source"), word_count(text).alias("size"), key.alias("_k"), F.xxhash64(text).alias("_t"), F.monotonically_increasing_id().alias("_u")))
+    key, content = F.xxhash64(F.col(row_id), F.lit(41)), F.xxhash64(text)
+    if text in carry:  # decide on slim rows, then move the texts once to their decisions
+        slim = mix(df, text, source, row_id, [row_id], block, max_repeat, _keys=True)
+        nth = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(1)))
+        wide = df.select(*carry).withColumn("_k", key).withColumn("_t", content).withColumn("_nth", nth)
+        slim = slim.drop(row_id).withColumn("_nth", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_u")))
+        return wide.join(slim, ["_k", "_t", "_nth"]).select(*carry, *RESULTS)
+    sized = checkpointed(df.select(*carry, F.col(source).alias("_source"), word_count(text).alias("size"), key.alias("_k"), content.alias("_t"), F.monotonically_increasing_id().alias("_u")))
     targets = checkpointed(source_targets(sized, max_repeat))
     total, rows = (targets.agg(F.max("_total")).first()[0] or 0), sized.count()
     block = block or max(1, min(1024, total // 50_000))
@@ -113,4 +126,28 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str =
     rest = F.col("_drawn") - turns * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     placed = placed.withColumn("full_turns", F.when(F.col("size") > 0, turns).otherwise(F.lit(0)).cast("long")).withColumn("last_words", last.cast("long"))
-    return placed.select(*carry, "size", "source_size", "target", (F.col("full_turns") * F.col("size") + F.col("last_words")).alias("taken"), "full_turns", "last_words")
+    placed = placed.withColumn("taken", F.col("full_turns") * F.col("size") + F.col("last_words"))
+    return placed.select(*carry, *RESULTS, *(["_k", "_t", "_u"] if _keys else []))
+
+
+def take(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The mix itself: rows of a mix() that carries the text, as often as they are taken, the last turn's cut after its last taken word."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in mixed.schema.fields]
+    word = re.compile(WORD_PATTERN)
+
+    def cut(value: str, n: int) -> str:
+        return value[: next(m.end() for i, m in enumerate(word.finditer(value), 1) if i == n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, turns, last = (np.asarray(column(batch, c)) for c in ("size", "full_turns", "last_words"))
+            whole = turns + ((last == size) & (size > 0))
+            at = np.repeat(np.arange(batch.num_rows), whole)
+            for lo in range(0, len(at), 2048):
+                yield batch.take(pa.array(at[lo : lo + 2048]))
+            for i in np.flatnonzero((last > 0) & (last < size)).tolist():
+                row = batch.slice(i, 1)
+                shorter = pa.array([cut(column(row, text)[0].as_py(), int(last[i]))], row.schema.field(text).type)
+                yield row.set_column(row.schema.get_field_index(text), text, shorter)
+
+    return mixed.mapInArrow(run, ", ".join(fields))
