@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from brindle.llm import language_id, minhash, mixing, piece_sampling, suffix_ded
 from brindle.llm.queries import documents, piece_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,23 +35,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-@F.udf("string")
-def _first_words(text: str, n: int) -> str:
-    """The text up to the end of its n-th word."""
-    for i, m in enumerate(_WORD.finditer(text), 1):
-        if i == n:
-            return text[: m.end()]
-    return text
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a document taken in part is cut after its last taken word."""
-    mixed = mixing.mix(docs, carry=COLUMNS)
-    turns = mixed.where("full_turns > 0 or (full_turns = 0 and last_words = size and size > 0)")
-    whole = F.when(F.col("last_words") == F.col("size"), F.col("full_turns") + 1).otherwise(F.col("full_turns"))
-    repeated = turns.select(*COLUMNS, F.explode(F.sequence(F.lit(1), whole)).alias("_turn")).select(*COLUMNS)
-    partial = mixed.where("last_words > 0 and last_words < size").withColumn("text", _first_words("text", "last_words"))
-    return repeated.unionAll(partial.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
+    taken = mixing.take(mixing.mix(docs, carry=COLUMNS))
+    return taken.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
