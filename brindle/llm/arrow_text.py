@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
@@ -132,6 +133,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows, counted first; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def parts_for(df: DataFrame) -> int:
     """Shuffle partitions of the session, for exchanges whose partition is handed whole to Python."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

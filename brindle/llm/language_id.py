@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, column, mix64, record, text_slices
+from .arrow_text import U64, broadcast_if_small, checkpointed, column, mix64, record, text_slices
 
 UNDETERMINED = "und"
 
@@ -127,7 +127,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", dims: int =
     n = seen.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([seen.get(i, 0) for i in range(dims)]))).astype(np.float32) + np.float32(1)
 
-    sizes = training.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = broadcast_if_small(checkpointed(training.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))))
     drawn = training.withColumn("_h", F.xxhash64("text", F.lit(17))).join(sizes, "lang")
     drawn = drawn.where(F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < F.lit(2.0 * per_lang) / F.col("_n"))
     distinct = drawn.groupBy("lang", "_h").agg(F.first("text").alias("text"))

@@ -10,7 +10,7 @@ stream with the prefix that all slots of the source have taken, once for each fu
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share the sum of all sizes;
 no target is above `max_repeat` times its source's size, the excess is shared again by weight.
 Slot ranks and stream places are two-level prefix sums over pieces of bounded row counts, so one hot
-source is never one task's work. Per-source figures are one row a source; they are joined, not
+source is never one task's work. Per-source figures are one row a source, broadcast only if they are counted to be few.are one row a source; they are joined, not
 broadcast by hint.
 
 Nulls: a null text has size 0 and is never taken; a null source is a source of its own. Identical rows
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import WORD_PATTERN, checkpointed, column
+from .arrow_text import WORD_PATTERN, broadcast_if_small, checkpointed, column
 
 RESULTS = ("size", "source_size", "target", "taken", "full_turns", "last_words")
 
@@ -111,7 +111,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str =
     slots = schedule.groupBy("_source").agg((F.max("rank") + 1).alias("_slots"))
     drawn = targets.join(slots.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
     drawn = drawn.withColumn("_drawn", F.least(F.coalesce("_slots", F.lit(0)) * block, F.col("source_size") * max_repeat))
-    drawn = drawn.select(F.col("_source").alias("_s"), "source_size", "target", "_drawn")
+    drawn = broadcast_if_small(checkpointed(drawn.select(F.col("_source").alias("_s"), "source_size", "target", "_drawn")))
 
     pieces = max(1, -(-rows // ROWS_A_PIECE))
     placed = sized.withColumn("_piece", F.expr(f"shiftrightunsigned(_k, 33) * {pieces}L div {1 << 31}L"))
