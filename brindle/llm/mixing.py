@@ -10,8 +10,7 @@ stream with the prefix that all slots of the source have taken, once for each fu
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share the sum of all sizes;
 no target is above `max_repeat` times its source's size, the excess is shared again by weight.
 Slot ranks and stream places are two-level prefix sums over pieces of bounded row counts, so one hot
-source is never one task's work. Per-source figures are one row a source, broadcast only if they are counted to be few.are one row a source; they are joined, not
-broadcast by hint.
+source is never one task's work. Per-source figures are one row a source, broadcast only if they are counted to be few.
 
 Nulls: a null text has size 0 and is never taken; a null source is a source of its own. Identical rows
 are placed side by side and each counts. An empty table gives an empty result. Extra columns are
