@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .functions import predicates as P
 from .operators import graph, integrity, ordered, setops
 from .plans import execution
+from .sources import store
+from .streaming import subscription
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -383,6 +385,86 @@ def x1_receipt_logic(spark, d):
     return Tables(spark, d).labels.select("doc_id", ok.alias("pass"), F.when(ok, "semantic").otherwise("forensic").alias("promoted"))
 
 
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS storage_id FROM documents WHERE doc_id % 3 = 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY 2")
+def b13_store_insert(spark, d):
+    objects = Tables(spark, d).documents.select("doc_id", F.sha2("text", 256).alias("storage_id"))
+    return store.new_objects(objects.where("doc_id % 2 = 0"), objects.where("doc_id % 3 = 0"), "storage_id", "doc_id")
+
+
+_EDGES = "SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders"
+_OBJECTS = "SELECT 'o' || o_orderkey AS node FROM orders UNION SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 7 <> 0 UNION SELECT 's' || s_suppkey FROM supplier UNION SELECT 'n' || n_nationkey FROM nation UNION SELECT 'r' || r_regionkey FROM region WHERE r_regionkey <> 1"
+
+
+def _objects(t: Tables) -> DataFrame:
+    node = lambda df, kind, c: df.select(F.concat(F.lit(kind), F.col(c).cast("string")).alias("node"))
+    kept = [node(t.orders, "o", "o_orderkey"), node(t.customer.where("c_custkey % 7 <> 0"), "c", "c_custkey"), node(t.supplier, "s", "s_suppkey")]
+    return integrity.report([*kept, node(t.nation, "n", "n_nationkey"), node(t.region.where("r_regionkey <> 1"), "r", "r_regionkey")])
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), have AS ({_OBJECTS}), w(pin, node) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey FROM orders UNION SELECT pin, dst FROM w JOIN e ON src = node)
+SELECT pin AS node, bool_and(have.node IS NOT NULL) AS complete FROM w LEFT JOIN have ON have.node = w.node GROUP BY pin""")
+def b15_pin_closure(spark, d):
+    t = Tables(spark, d)
+    return store.pinnable(t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node")), _objects(t), _edges(t))
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), have AS ({_OBJECTS}), w(node) AS (SELECT 's' || s_suppkey FROM supplier UNION SELECT dst FROM w JOIN e ON src = node) SELECT node FROM have WHERE node IN (SELECT node FROM w)""")
+def b14_export_closure(spark, d):
+    t = Tables(spark, d)
+    return store.export_closure(t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node")), _objects(t), _edges(t))
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END AS phase FROM pages")
+def b16_restore_phases(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("directory", "regular", "hardlink", "symlink", "socket")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return Tables(spark, d).pages.select("page_id", store.restore_phase(kind).alias("phase"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_id, strlen(text) AS bytes FROM documents LEFT JOIN labels USING (doc_id) WHERE labels.quality IS NOT NULL OR doc_id % 4 = 0")
+def a15_payload_lease(spark, d):
+    t = Tables(spark, d)
+    payloads = t.documents.groupBy(F.sha2("text", 256).alias("content_id")).agg(F.max(F.octet_length("text")).cast("long").alias("bytes"))
+    named = t.documents.join(t.labels, "doc_id", "left").where("quality is not null or doc_id % 4 = 0").select("doc_id", F.sha2("text", 256).alias("content_id"))
+    return store.lease(named, payloads).select("doc_id", "content_id", "bytes")
+
+
+_SNAPSHOTS = """SELECT CAST(user_id % 40 AS VARCHAR) AS subscription_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1 + CASE WHEN event_id % 997 = 0 THEN 1 ELSE 0 END AS sequence,
+event_id, event_id + CASE WHEN event_id % 1009 = 0 THEN -3000 ELSE 0 END AS watermark FROM events"""
+_VIOLATIONS = f"""SELECT subscription_id, place AS sequence, CASE WHEN sequence <> place THEN 'sequence' ELSE 'watermark' END AS violation FROM (
+SELECT *, row_number() OVER w - 1 AS place, lag(watermark) OVER w AS mark FROM ({_SNAPSHOTS}) WINDOW w AS (PARTITION BY subscription_id ORDER BY sequence, event_id))
+WHERE sequence <> place OR watermark < mark QUALIFY row_number() OVER (PARTITION BY subscription_id ORDER BY place) = 1"""
+
+
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return Tables(spark, d).events.selectExpr(
+        "cast(user_id % 40 as string) as subscription_id", "row_number() over (partition by user_id % 40 order by event_id) - 1L + if(event_id % 997 = 0, 1L, 0L) as sequence", "event_type as logical_id",
+        "row_number() over (partition by user_id % 40, event_type order by event_id) - 1L as generation", "lpad(event_id, 12, '0') as snapshot_id", "event_id + if(event_id % 1009 = 0, -3000L, 0L) as watermark",
+        "nullif(row_number() over (partition by user_id % 40, event_type order by event_id) - 2L, -1L) as prior_generation",
+        "lag(lpad(event_id, 12, '0')) over (partition by user_id % 40, event_type order by event_id) as prior_snapshot_id",
+    )
+
+
+@query(_VIOLATIONS)
+def st1_first_violations(spark, d):
+    return subscription.first_violations(_snapshots(spark, d))
+
+
+@query(f"SELECT subscription_id, count(*) AS events, max(watermark) AS watermark FROM ({_SNAPSHOTS}) WHERE subscription_id NOT IN (SELECT subscription_id FROM ({_VIOLATIONS})) GROUP BY 1")
+def st5_sealed(spark, d):
+    return subscription.sealed(_snapshots(spark, d))
+
+
+@query("SELECT CAST(user_id % 40 AS VARCHAR) AS subscription_id, event_type AS logical_id, count(*) - 1 AS generation, lpad(CAST(max(event_id) AS VARCHAR), 12, '0') AS snapshot_id FROM events GROUP BY 1, 2")
+def st4_latest(spark, d):
+    return subscription.latest(_snapshots(spark, d))
+
+
+@query("SELECT date_trunc('hour', ts) + to_hours(CAST(k AS INTEGER)) AS hour, event_type, count(*) AS n FROM events, (VALUES (0), (-1)) t(k) GROUP BY 1, 2")
+def st_sliding(spark, d):
+    windows = Tables(spark, d).events.groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return windows.select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
 def _report(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     parts = [
