@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Word characters are all bytes but space and 0x09-0x0D, so words are `[^\x20\x09-\x0D]+`.
 WORD_BYTE = np.ones(256, dtype=bool)
@@ -117,8 +119,12 @@ def reuse_memory() -> None:
         libc.mallopt(-1, 64 << 20)
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, giving the memory it has freed back to the system when a task ends: workers outlive their tasks and stages."""
+def mapped(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> Callable[[DataFrame], DataFrame]:
+    """A transform that is mapInArrow(run, schema) in bounded memory.
+
+    Arrow batches hold at most BATCH_BYTES and a row, unless the session already sets a bound: rows of long texts otherwise fill large
+    buffers outside the heap. When a task ends its worker, which outlives it, gives freed memory back to the system.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -126,7 +132,12 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)
 
-    return task
+    def apply(df: DataFrame) -> DataFrame:
+        conf = df.sparkSession.conf
+        conf.set(BATCH_SETTING, conf.get(BATCH_SETTING, str(BATCH_BYTES)))
+        return df.mapInArrow(task, schema)
+
+    return apply
 
 
 def record(schema: pa.Schema, *columns: object) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import column, frugal, parts_for, reuse_memory
+from .arrow_text import column, mapped, parts_for, reuse_memory
 
 WINDOW = 32
 LEAST, NORMAL, MOST = 32, 128, 512
@@ -120,7 +120,7 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
                 prints += map(as_text, chunk_sets([(t or "").encode() for t in column(batch.slice(at, 256), text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
-    return source.mapInArrow(frugal(run), ", ".join([*fields, "fingerprint string"]))
+    return source.transform(mapped(run, ", ".join([*fields, "fingerprint string"])))
 
 
 def _ranged(df: DataFrame, text: str, row_id: str) -> DataFrame:
@@ -200,5 +200,5 @@ def compare_edited(df: DataFrame, text: str = "text", row_id: str = "doc_id", ca
                 at = max(to, at + 1)
             last = rows.slice(end, 1)
 
-    return source.mapInArrow(frugal(run), ", ".join([*fields, "n_chars long", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double"]))
+    return source.transform(mapped(run, ", ".join([*fields, "n_chars long", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double"])))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, broadcast_if_small, checkpointed, column, frugal, mix64, record, text_slices
+from .arrow_text import U64, broadcast_if_small, checkpointed, column, mapped, mix64, record, text_slices
 
 UNDETERMINED = "und"
 
@@ -123,7 +123,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", dims: int =
         out = pa.schema([("dim", pa.int32()), ("df", pa.int64())])
         yield record(out, np.arange(-1, dims), np.concatenate([[n], total]))
 
-    seen = {r["dim"]: r["df"] for r in training.select("text").mapInArrow(frugal(frequencies), "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect()}
+    seen = {r["dim"]: r["df"] for r in training.select("text").transform(mapped(frequencies, "dim int, df long")).groupBy("dim").agg(F.sum("df").alias("df")).collect()}
     n = seen.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([seen.get(i, 0) for i in range(dims)]))).astype(np.float32) + np.float32(1)
 
@@ -156,7 +156,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", dims: int =
         name = group.column("lang")[0].as_py()
         return pa.Table.from_arrays([pa.array([name] * len(c)), pa.array([row for row in c], type=pa.list_(pa.float32())), pa.array(limit)], schema=fitted)
 
-    rows = sample.mapInArrow(frugal(vectorise), "lang string, vector array<float>").groupBy("lang").applyInArrow(centroids, "lang string, centroid array<float>, threshold double").collect()
+    rows = sample.transform(mapped(vectorise, "lang string, vector array<float>")).groupBy("lang").applyInArrow(centroids, "lang string, centroid array<float>, threshold double").collect()
     rows.sort(key=lambda r: (r["lang"], r["centroid"]))
     langs = sorted({r["lang"] for r in rows})
     where = {name: i for i, name in enumerate(langs)}
@@ -200,4 +200,4 @@ def identify_languages(df: DataFrame, model: Model, text: str = "text") -> DataF
             arrays = [*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(gone))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *made])
 
-    return source.mapInArrow(frugal(run), ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"]))
+    return source.transform(mapped(run, ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"])))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, as_long, checkpointed, column, frugal, mix64, record, reuse_memory, text_slices, word_hashes
+from .arrow_text import U64, as_long, checkpointed, column, mapped, mix64, record, reuse_memory, text_slices, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -142,7 +142,7 @@ def _signed(docs: DataFrame, t: int, bands: int) -> DataFrame:
                 packed = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.arange(len(keep) + 1, dtype=np.int32) * t), pa.py_buffer(low)])
                 yield record(schema, nodes[lo:hi][keep], flat, packed)
 
-    return docs.select("node", "text").mapInArrow(frugal(run), "node long, bands array<long>, sig binary")
+    return docs.select("node", "text").transform(mapped(run, "node long, bands array<long>, sig binary"))
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -174,7 +174,7 @@ def _bags(docs: DataFrame) -> DataFrame:
                 bounds = np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32)
                 yield record(schema, nodes[lo:hi], pa.ListArray.from_arrays(pa.array(bounds), pa.array(as_long(e[order]))))
 
-    return docs.mapInArrow(frugal(run), "node long, bag array<long>")
+    return docs.transform(mapped(run, "node long, bag array<long>"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -188,7 +188,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             yield record(schema, column(batch, "a").take(pa.array(good, pa.int64())), column(batch, "b").take(pa.array(good, pa.int64())))
 
     of = lambda c: bags.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "bag_a", "bag_b").mapInArrow(frugal(run), "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "bag_a", "bag_b").transform(mapped(run, "a long, b long"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -276,7 +276,7 @@ def _pieces(rows: DataFrame, least: float, threshold: float | None) -> DataFrame
                 yield record(link_schema, np.array([min(x) for x in links]), np.array([max(x) for x in links]))
 
     form = "piece long, node long, label long, no int, side int, sig binary" if threshold is None else "a long, b long"
-    return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(frugal(run), form)
+    return rows.repartition("piece").sortWithinPartitions("piece").transform(mapped(run, form))
 
 
 def _other_links(shared: DataFrame, bags: DataFrame, threshold: float, t: int) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import WORD_PATTERN, broadcast_if_small, checkpointed, column, frugal
+from .arrow_text import WORD_PATTERN, broadcast_if_small, checkpointed, column, mapped
 
 RESULTS = ("size", "source_size", "target", "taken", "full_turns", "last_words")
 
@@ -149,4 +149,4 @@ def take(mixed: DataFrame, text: str = "text") -> DataFrame:
                 shorter = pa.array([cut(column(row, text)[0].as_py(), int(last[i]))], row.schema.field(text).type)
                 yield row.set_column(row.schema.get_field_index(text), text, shorter)
 
-    return mixed.mapInArrow(frugal(run), ", ".join(fields))
+    return mixed.transform(mapped(run, ", ".join(fields)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, WORD_BYTE, checkpointed, column, frugal, mix64, record, reuse_memory, span_hashes, text_slices, word_spans
+from .arrow_text import U64, WORD_BYTE, checkpointed, column, mapped, mix64, record, reuse_memory, span_hashes, text_slices, word_spans
 
 ORDER = 4
 SYMBOLS = 32
@@ -116,7 +116,7 @@ def count_strings(docs: DataFrame, langs: dict) -> DataFrame:
         seen = np.flatnonzero(total)
         yield record(schema, (seen // STRINGS).astype(np.int32), (seen % STRINGS).astype(np.int32), total[seen])
 
-    return docs.select("lang", "text").mapInArrow(frugal(run), "model int, code int, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").transform(mapped(run, "model int, code int, n long")).groupBy("model", "code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -275,7 +275,7 @@ def quality(df: DataFrame, text: str = "text", lang: str = "lang", carry: list[s
                 values = pa.array(entropy, mask=np.isnan(entropy) | (found[0] == 0))
                 yield pa.RecordBatch.from_arrays([*(column(part, c) for c in carry), *map(pa.array, found), values, pa.array(model[lo:hi].astype(np.int32))], names=[*carry, *figures, "log2_perplexity", "_model"])
 
-    scored = source.mapInArrow(frugal(run), ", ".join([*fields, *(f"{c} long" for c in figures), "log2_perplexity double", "_model int"]))
+    scored = source.transform(mapped(run, ", ".join([*fields, *(f"{c} long" for c in figures), "log2_perplexity double", "_model int"])))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     scored = checkpointed(scored.withColumn("base_failed", failed))
     steps = scored.where("not base_failed and log2_perplexity is not null").groupBy("_model", F.floor(F.col("log2_perplexity") * STEP).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()

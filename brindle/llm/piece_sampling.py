@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, column, frugal, mix64, powers, reuse_memory, text_slices
+from .arrow_text import U64, column, mapped, mix64, powers, reuse_memory, text_slices
 
 SPACE = 0x2581
 TABLE_BITS = 18
@@ -295,7 +295,7 @@ def encode_sampled(df: DataFrame, model: bytes, text: str = "text", row_id: str
                 arrays = [*(column(part, c) for c in carry), lists, pa.array(counts, mask=~ok), pa.array(same, mask=~ok)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *made])
 
-    return source.mapInArrow(frugal(run), ", ".join([*fields, "pieces array<int>", "n_pieces long", "lossless boolean"]))
+    return source.transform(mapped(run, ", ".join([*fields, "pieces array<int>", "n_pieces long", "lossless boolean"])))
 
 
 def decode_pieces(df: DataFrame, model: bytes, pieces: str = "pieces", text: str = "text") -> DataFrame:
@@ -311,4 +311,4 @@ def decode_pieces(df: DataFrame, model: bytes, pieces: str = "pieces", text: str
             texts = [known.decode(x.values.to_numpy()).decode("utf-8") if x.is_valid and len(x.values) else ("" if x.is_valid else None) for x in column(batch, pieces)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return source.mapInArrow(frugal(run), ", ".join([*fields, f"`{text}` string"]))
+    return source.transform(mapped(run, ", ".join([*fields, f"`{text}` string"])))

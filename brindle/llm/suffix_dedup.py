@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, as_long, checkpointed, column, frugal, mix64, parts_for, record, reuse_memory, text_slices
+from .arrow_text import U64, as_long, checkpointed, column, mapped, mix64, parts_for, record, reuse_memory, text_slices
 
 LENGTH = 100
 GRAM = 32
@@ -197,7 +197,7 @@ def _strings(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
         if kept:
             yield from flush()
 
-    return docs.select("doc", "text").mapInArrow(frugal(run), "route long, content long, doc long, packed long, windows long")
+    return docs.select("doc", "text").transform(mapped(run, "route long, content long, doc long, packed long, windows long"))
 
 
 def hot_anchors(docs: DataFrame, length: int = LENGTH) -> np.ndarray:
@@ -211,7 +211,7 @@ def hot_anchors(docs: DataFrame, length: int = LENGTH) -> np.ndarray:
                 pair = np.unique(np.stack([as_long(anchor), as_long(content)]), axis=1)
                 yield record(schema, pair[0], pair[1])
 
-    drawn = docs.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(HOT_SAMPLE)) == 0).select("doc", "text").mapInArrow(frugal(run), "anchor long, content long")
+    drawn = docs.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(HOT_SAMPLE)) == 0).select("doc", "text").transform(mapped(run, "anchor long, content long"))
     many = drawn.distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_CONTEXTS)
     return np.array(sorted(r["anchor"] for r in many.orderBy(F.desc("n"), "anchor").limit(HOT_MOST).collect()), np.int64).view(U64)
 
@@ -242,7 +242,7 @@ def _marks(strings: DataFrame, length: int, parts: int) -> DataFrame:
         left = first[which]
         yield record(_MARKS, anchor[left], doc[left], start, windows)
 
-    return strings.repartition(parts, "route").mapInArrow(frugal(run), "anchor long, doc long, start long, windows long")
+    return strings.repartition(parts, "route").transform(mapped(run, "anchor long, doc long, start long, windows long"))
 
 
 def shared_part(anchor: np.ndarray, packed: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,7 +394,7 @@ def _compared(candidates: DataFrame, length: int, parts: int) -> DataFrame:
             yield record(schema, *repeated_windows(texts, doc[some], start[some], length))
             lo = hi
 
-    return candidates.repartition(parts, "anchor").mapInArrow(frugal(run), "doc long, start long, windows long")
+    return candidates.repartition(parts, "anchor").transform(mapped(run, "doc long, start long, windows long"))
 
 
 def _cut_strings(candidates: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -415,7 +415,7 @@ def _cut_strings(candidates: DataFrame, docs: DataFrame, length: int) -> DataFra
                 yield record(schema, anchor, np.repeat(docs_of[lo:hi], n), start, [raw[a : a + w + length - 1] for a, w in zip(at.tolist(), windows.tolist(), strict=True)])
 
     per_doc = candidates.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("found"))
-    return docs.join(per_doc, "doc").select("doc", "text", "found").mapInArrow(frugal(run), "anchor long, doc long, start long, string binary")
+    return docs.join(per_doc, "doc").select("doc", "text", "found").transform(mapped(run, "anchor long, doc long, start long, string binary"))
 
 
 def ordered_documents(df: DataFrame, text: str, row_id: str) -> DataFrame:
@@ -479,7 +479,7 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", le
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carry), *arrays], names=[*carry, *names])
 
     schema = [*fields, "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "spans array<struct<`from`:long,`to`:long>>", *(["kept_text string"] if keep_text else [])]
-    return joined.mapInArrow(frugal(run), ", ".join(schema))
+    return joined.transform(mapped(run, ", ".join(schema)))
 
 
 def _drop_shuffles(df: DataFrame) -> None:

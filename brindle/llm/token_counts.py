@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow_text import WORD_PATTERN, column, frugal
+from .arrow_text import WORD_PATTERN, column, mapped
 
 WORD = re.compile(WORD_PATTERN)
 CACHED_WORDS = 400_000
@@ -125,4 +125,4 @@ def count_pieces(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
                 out[:, i] = len(words), total >> 32, total & 0xFFFFFFFF
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*batch.schema.names, *made])
 
-    return source.mapInArrow(frugal(run), ", ".join([*fields, *(f"{c} long" for c in made)]))
+    return source.transform(mapped(run, ", ".join([*fields, *(f"{c} long" for c in made)])))

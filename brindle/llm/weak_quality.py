@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, WORD_BYTE, checkpointed, column, frugal, mix64, record, reuse_memory, span_hashes, text_slices, word_spans
+from .arrow_text import U64, WORD_BYTE, checkpointed, column, mapped, mix64, record, reuse_memory, span_hashes, text_slices, word_spans
 from .ngram_quality import base_figures
 
 LABELLERS = ("length", "symbols", "marks_in_words", "repeats", "lines", "capitals", "word_length", "sentences", "variety", "bars")
@@ -162,7 +162,7 @@ def weak_scores(df: DataFrame, text: str = "text", carry: list[str] | None = Non
         seen = np.flatnonzero(total)
         yield record(schema, seen, total[seen])
 
-    counted = docs.mapInArrow(frugal(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
+    counted = docs.transform(mapped(count, "pattern long, n long")).groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     patterns, counts = counted.column("pattern").to_numpy(), counted.column("n").to_numpy()
     posterior, _, _ = estimate(patterns, counts)
     table = np.full(3 ** len(LABELLERS), 0.5)
@@ -182,7 +182,7 @@ def weak_scores(df: DataFrame, text: str = "text", carry: list[str] | None = Non
                 bounds = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
                 yield record(schema, hashes[lo:hi], goal, pa.ListArray.from_arrays(pa.array(bounds), pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(w.astype(np.float32))))
 
-    sample = drawn.mapInArrow(frugal(extract), "h long, goal double, at array<int>, weight array<float>").orderBy("h").toArrow()
+    sample = drawn.transform(mapped(extract, "h long, goal double, at array<int>, weight array<float>")).orderBy("h").toArrow()
     sizes = np.asarray(pa.compute.list_value_length(sample.column("at").combine_chunks())).astype(np.int64)
     flat_at, flat_weight = (np.asarray(pa.compute.list_flatten(sample.column(c).combine_chunks())) for c in ("at", "weight"))
     model = train(np.repeat(np.arange(sample.num_rows), sizes), flat_at.astype(np.int64), flat_weight.astype(np.float64), sample.column("goal").to_numpy())
@@ -203,4 +203,4 @@ def weak_scores(df: DataFrame, text: str = "text", carry: list[str] | None = Non
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(column(part, c) for c in carry), pa.array(names, pa.string()), pa.array(p), pa.array(s), pa.array(s >= threshold)], names=[*carry, *made])
 
-    return source.mapInArrow(frugal(score), ", ".join([*fields, "votes string", "posterior double", "score double", "kept boolean"]))
+    return source.transform(mapped(score, ", ".join([*fields, "votes string", "posterior double", "score double", "kept boolean"])))
