@@ -5,7 +5,11 @@ as the integer (i * 2654435769) mod 2^32, falls into one source's part of the cu
 rank of the slot among the slots of its source says which block of the source's shuffled, cyclic word
 stream it takes. Each source's documents are shuffled by a hash of their id and laid end to end; the
 blocks of a source follow each other, so what a document gives is the overlap of its place in the
-stream with the prefix that all slots of the source have taken, once for each full turn.
+stream with the prefix that the source takes, once for each full turn.
+
+A source takes round(target) words whatever the block: its last block is cut there, slots beyond it stay empty, and
+blocks for which the ring gave it no slot follow the last slot, by source and rank. first_slot is the slot of
+the block in which a document's first taken word lies, null if none is taken.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share the sum of all sizes;
 no target is above `max_repeat` times its source's size, the excess is shared again by weight.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import WORD_PATTERN, broadcast_if_small, checkpointed, column, mapped
 
-RESULTS = ("size", "source_size", "target", "taken", "full_turns", "last_words")
+RESULTS = ("size", "source_size", "target", "taken", "full_turns", "last_words", "first_slot")
 
 GOLDEN = 2654435769
 RING = 1 << 32
@@ -69,9 +73,13 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3) -> DataFrame:
     return per.select("_source", "source_size", "target", "_lo", "_hi", F.col("_total").cast("long").alias("_total"))
 
 
+def slot_count(total: int, block: int) -> int:
+    return max(1, round(total / block)) if total else 0
+
+
 def source_schedule(spark, targets: DataFrame, total: int, block: int) -> DataFrame:
     """The schedule: slot, _source and rank (the slot's number among those of its source, from 0)."""
-    slots = max(1, round(total / block)) if total else 0
+    slots = slot_count(total, block)
     pieces = max(1, -(-slots // SLOTS_A_PIECE))
     ring = spark.range(0, slots, 1, max(1, min(pieces, 1 << 15))).select(
         F.col("id").alias("slot"), F.expr(f"pmod(id * {GOLDEN}L, {RING}L)").alias("_point"), F.expr(f"id div {SLOTS_A_PIECE}L").alias("_piece")
@@ -87,14 +95,21 @@ def source_schedule(spark, targets: DataFrame, total: int, block: int) -> DataFr
     return ranked.join(counts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p"))).select("slot", "_source", (F.col("_before") + F.col("_r")).alias("rank"))
 
 
+def late_blocks(drawn: DataFrame, slots: int, block: int) -> DataFrame:
+    """Slots after the `slots` of the ring for the blocks that sources (_s, _slots, _drawn) have beyond theirs: slot, _source and rank."""
+    blocks = F.expr(f"(_drawn + {block - 1}L) div {block}L")
+    late = drawn.where(blocks > F.col("_slots")).select(F.col("_s").alias("_source"), F.explode(F.sequence(F.col("_slots"), blocks - 1)).alias("rank"))
+    nth = F.row_number().over(Window.orderBy(F.col("_source").isNull(), "_source", "rank"))
+    return late.select((nth + F.lit(slots - 1)).cast("long").alias("slot"), "_source", "rank")
+
+
 def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", carry: list[str] | None = None, block: int | None = None, max_repeat: int = 3, _keys: bool = False) -> DataFrame:
-    """df's columns (or those in `carry`) with size, source_size, target, taken, full_turns and last_words.
+    """df's columns (or those in `carry`) with size, source_size, target, taken, full_turns, last_words and first_slot.
 
     taken = full_turns * size + last_words, where last_words is how many words of the document the last,
     unfinished turn takes from its start. Block: `block` words, or a 1/50,000 of the corpus, at most 1,024.
     """
-    made = {"size", "source_size", "target", "taken", "full_turns", "last_words"}
-    carry = [c for c in (df.columns if carry is None else carry) if c not in made]
+    carry = [c for c in (df.columns if carry is None else carry) if c not in RESULTS]
     key, content = F.xxhash64(F.col(row_id), F.lit(41)), F.xxhash64(text)
     if text in carry:  # decide on slim rows, then move the texts once to their decisions
         slim = mix(df, text, source, row_id, [row_id], block, max_repeat, _keys=True)
@@ -106,11 +121,14 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str =
     targets = checkpointed(source_targets(sized, max_repeat))
     total, rows = (targets.agg(F.max("_total")).first()[0] or 0), sized.count()
     block = block or max(1, min(1024, total // 50_000))
-    schedule = source_schedule(df.sparkSession, targets, total, block)
+    schedule = checkpointed(source_schedule(df.sparkSession, targets, total, block))
     slots = schedule.groupBy("_source").agg((F.max("rank") + 1).alias("_slots"))
     drawn = targets.join(slots.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    drawn = drawn.withColumn("_drawn", F.least(F.coalesce("_slots", F.lit(0)) * block, F.col("source_size") * max_repeat))
-    drawn = broadcast_if_small(checkpointed(drawn.select(F.col("_source").alias("_s"), "source_size", "target", "_drawn")))
+    drawn = drawn.withColumn("_drawn", F.least(F.round("target").cast("long"), F.col("source_size") * max_repeat))
+    drawn = checkpointed(drawn.select(F.col("_source").alias("_s"), "source_size", "target", "_drawn", F.coalesce("_slots", F.lit(0)).cast("long").alias("_slots")))
+    schedule = schedule.select("slot", "_source", "rank").unionByName(late_blocks(drawn, slot_count(total, block), block))
+    schedule = schedule.select(F.col("slot").alias("first_slot"), F.col("_source").alias("_s3"), F.col("rank").alias("_r3"))
+    drawn = broadcast_if_small(drawn)
 
     pieces = max(1, -(-rows // ROWS_A_PIECE))
     placed = sized.withColumn("_piece", F.expr(f"shiftrightunsigned(_k, 33) * {pieces}L div {1 << 31}L"))
@@ -126,6 +144,9 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str =
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     placed = placed.withColumn("full_turns", F.when(F.col("size") > 0, turns).otherwise(F.lit(0)).cast("long")).withColumn("last_words", last.cast("long"))
     placed = placed.withColumn("taken", F.col("full_turns") * F.col("size") + F.col("last_words"))
+    # rows that take nothing have no block; numbers of their own keep them from meeting in one task
+    placed = placed.withColumn("_rank", F.when(F.col("taken") > 0, F.expr(f"(_base + _at) div {block}L")).otherwise(F.expr("-1L - shiftrightunsigned(_k, 1)")))
+    placed = placed.join(schedule, F.col("_source").eqNullSafe(F.col("_s3")) & (F.col("_rank") == F.col("_r3")), "left")
     return placed.select(*carry, *RESULTS, *(["_k", "_t", "_u"] if _keys else []))
 
 

@@ -148,6 +148,22 @@ def test_mixing(docs, rows):
     assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect()))
 
 
+def test_mixing_small_sources(spark):
+    big = [(i, "w " * 1000, "big") for i in range(200)]
+    small = [(1000 + i, "s " * (5 + i % 40), f"small{i:02}") for i in range(60)]
+    out = mixing.mix(spark.createDataFrame([*big, *small, (None, None, None)], "doc_id long, text string, source string"), block=1024).collect()
+    by_source = collections.defaultdict(list)
+    for r in out:
+        by_source[r.source].append(r)
+    for mine in by_source.values():
+        assert sum(r.taken for r in mine) == int(mine[0].target + 0.5) and all((r.first_slot is None) == (r.taken == 0) for r in mine)
+    slots = collections.defaultdict(set)
+    for r in out:
+        if r.taken:
+            slots[r.first_slot].add(r.source)
+    assert all(len(s) == 1 for s in slots.values())
+
+
 def test_piece_sampling(docs, rows):
     model = piece_model()
     coded = piece_sampling.encode_sampled(docs, model)
