@@ -418,17 +418,17 @@ def _cut_strings(candidates: DataFrame, docs: DataFrame, length: int) -> DataFra
     return docs.join(per_doc, "doc").select("doc", "text", "found").transform(mapped(run, "anchor long, doc long, start long, string binary"))
 
 
-def ordered_documents(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    """df with doc, a number for each (id, text) that keeps the order of ids: the id itself where that is a key."""
+def ordered_documents(df: DataFrame, text: str, row_id: str) -> tuple[DataFrame, bool]:
+    """df with doc, a number for each (id, text) that keeps the order of ids: the id itself where that is a key; and whether it is."""
     ids = df.select(F.col(row_id).cast("long").alias("_id"))
     twice = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _id is null")
     if dict(df.dtypes)[row_id] in ("bigint", "int", "smallint", "tinyint") and twice.isEmpty():
-        return df.withColumn("doc", F.col(row_id).cast("long"))
+        return df.withColumn("doc", F.col(row_id).cast("long")), True
     keyed = df.withColumn("_hash", F.xxhash64(text))
     pairs = keyed.select(F.col(row_id).alias("_id"), F.col("_hash").alias("_h")).distinct()
     pairs = pairs.repartitionByRange(parts_for(df), F.col("_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("_id").asc_nulls_first(), "_h")
     numbered = checkpointed(pairs.withColumn("doc", F.monotonically_increasing_id()))
-    return keyed.join(numbered, F.col(row_id).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))).drop("_id", "_h", "_hash")
+    return keyed.join(numbered, F.col(row_id).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))).drop("_id", "_h", "_hash"), False
 
 
 def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, carry: list[str] | None = None, keep_text: bool = True) -> DataFrame:
@@ -439,8 +439,10 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", le
     """
     made = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"}
     carry = [c for c in (df.columns if carry is None else carry) if c not in made]
-    keyed = ordered_documents(df, text, row_id)
+    keyed, is_key = ordered_documents(df, text, row_id)
     docs = keyed.select("doc", F.col(text).alias("text"))
+    if not is_key:  # wholly equal rows are one document; met twice, all its strings would be repeats
+        docs = docs.dropDuplicates(["doc"])
     parts = parts_for(df)
     marks = checkpointed(_marks(_strings(docs, length, hot_anchors(docs, length)), length, parts))
     _drop_shuffles(df)

@@ -73,6 +73,15 @@ def test_suffix_dedup_awkward_rows(docs, rows):
     assert suffix_dedup.remove_repeats(docs).count() == len(rows)
 
 
+def test_suffix_dedup_repeated_rows(spark, rows):
+    a, b = rows[0][1], rows[1][1]
+    once = [(1, a), (2, b + " " + a), (None, rows[11][1]), (3, "short")]
+    remove = lambda r: {(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(spark.createDataFrame(r, "doc_id long, text string").repartition(4)).collect()}
+    got = remove([*once, *once, once[0]])
+    assert got == remove(once)
+    assert {x[0]: x[2] for x in got} == {1: 0, 2: len(a), None: 0, 3: 0}
+
+
 def bag(t):
     w = words(t)
     return collections.Counter(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
