@@ -22,6 +22,7 @@ gives an empty result. Extra columns are carried; columns named like the results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,19 +207,17 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield rest.combine_chunks()
 
 
-def _candidates(sig: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarray, i: int, least: float, bands: int = BANDS) -> np.ndarray:
-    """Rows after i, or of the other block, of another component whose signature agrees enough and that share no earlier band with i."""
+def _candidates(sig: np.ndarray, keys: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarray, i: int, least: float) -> np.ndarray:
+    """Rows after i, or of the other block, of another component whose signature agrees enough and that share no earlier band key with i."""
     rest = np.arange(i + 1, len(label)) if side[i] == 2 else np.flatnonzero(side == 1)
     rest = rest[label[rest] != label[i]]
     if not len(rest):
         return rest
-    same = sig[rest] == sig[i]
-    rest, same = rest[good := same.mean(axis=1) >= least], same[good]
-    earlier = same.reshape(len(rest), bands, sig.shape[1] // bands).all(axis=2)[:, : no[i]].any(axis=1) if no[i] else np.zeros(len(rest), bool)
-    return rest[~earlier]
+    rest = rest[(sig[rest] == sig[i]).mean(axis=1) >= least]
+    return rest[~(keys[rest, : no[i]] == keys[i, : no[i]]).any(axis=1)]
 
 
-def _links_in(sig: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarray, node: np.ndarray, bags: list[np.ndarray], least: float, threshold: float) -> list[tuple[int, int]]:
+def _links_in(sig: np.ndarray, keys: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarray, node: np.ndarray, bags: list[np.ndarray], least: float, threshold: float) -> list[tuple[int, int]]:
     """Links that join the components of one piece of work as far as its similar pairs do."""
     sizes = np.fromiter(map(len, bags), np.int64, len(bags))
     flat = np.concatenate(bags)
@@ -232,7 +231,7 @@ def _links_in(sig: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarr
     mark = np.zeros(int(ids.max()) + 1, np.int32)
     label, out = label.copy(), []
     for i in np.flatnonzero(side != 1):
-        rest = _candidates(sig, no, label, side, i, least)
+        rest = _candidates(sig, keys, no, label, side, i, least)
         if not len(rest):
             continue
         mark[ids[first[i] : first[i] + sizes[i]]] = 1
@@ -249,7 +248,7 @@ def _links_in(sig: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarr
 
 def _pieces(rows: DataFrame, least: float, threshold: float | None) -> DataFrame:
     """With a threshold the links (a, b) of each piece of work; without it the rows that have a candidate at all."""
-    row_schema = pa.schema([("piece", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("no", pa.int32()), ("side", pa.int32()), ("sig", pa.binary())])
+    row_schema = pa.schema([("piece", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("no", pa.int32()), ("side", pa.int32()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +256,7 @@ def _pieces(rows: DataFrame, least: float, threshold: float | None) -> DataFrame
         for table in _runs(batches, "piece"):
             piece, node, label, no, side = (table.column(c).to_numpy() for c in ("piece", "node", "label", "no", "side"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+            keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(piece)]])
             links, wanted = [], np.zeros(len(node), bool)
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -264,10 +264,10 @@ def _pieces(rows: DataFrame, least: float, threshold: float | None) -> DataFrame
                     continue
                 if threshold is not None:
                     bags = [x.values.to_numpy() for x in table.column("bag").slice(lo, hi - lo)]
-                    links += _links_in(sig[lo:hi], no[lo:hi], label[lo:hi], side[lo:hi], node[lo:hi], bags, least, threshold)
+                    links += _links_in(sig[lo:hi], keys[lo:hi], no[lo:hi], label[lo:hi], side[lo:hi], node[lo:hi], bags, least, threshold)
                 else:
                     for i in np.flatnonzero(side[lo:hi] != 1):
-                        if len(found := _candidates(sig[lo:hi], no[lo:hi], label[lo:hi], side[lo:hi], i, least)):
+                        if len(found := _candidates(sig[lo:hi], keys[lo:hi], no[lo:hi], label[lo:hi], side[lo:hi], i, least)):
                             wanted[lo + i] = True
                             wanted[lo + found] = True
             if threshold is None:
@@ -275,26 +275,36 @@ def _pieces(rows: DataFrame, least: float, threshold: float | None) -> DataFrame
             elif links:
                 yield record(link_schema, np.array([min(x) for x in links]), np.array([max(x) for x in links]))
 
-    form = "piece long, node long, label long, no int, side int, sig binary" if threshold is None else "a long, b long"
+    form = "piece long, node long, label long, no int, side int, sig binary, bands array<long>" if threshold is None else "a long, b long"
     return rows.repartition("piece").sortWithinPartitions("piece").transform(mapped(run, form))
 
 
+def least_agreement(threshold: float, t: int, miss: float = 1e-9) -> float:
+    """The share of t coordinates below which a pair of similarity `threshold` agrees with a probability of at most `miss`."""
+    below = 0.0
+    for k in range(t + 1):
+        below += math.comb(t, k) * threshold**k * (1 - threshold) ** (t - k)
+        if below > miss:
+            return k / t
+    return 1.0
+
+
 def _other_links(shared: DataFrame, bags: DataFrame, threshold: float, t: int) -> DataFrame:
     """Links across components inside a band that hubs did not find; shared has the open bands with labels and signatures.
 
-    A pair is looked at in the first band it shares, on signatures that agree up to four standard deviations
-    below the threshold, and decided on the bags. Pairs stay inside a task; only links that join two components
+    A pair is looked at in the first band it shares by the band's whole key, on signatures that a pair at the threshold
+    misses with a probability of 1e-9, and decided on the bags. Pairs stay inside a task; only links that join two components
     leave it. A band of more than BLOCK_ROWS members is dealt to blocks, and each pair of blocks is one piece of work, so
     no task holds more than two blocks of a band at once.
     """
-    least = max(0.0, threshold - 4 * float(np.sqrt(threshold * (1 - threshold) / t)))
+    least = least_agreement(threshold, t)
     # side 2: both sides of the pair lie in this block; 0 and 1: the lower and the higher block
     mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)).withColumn("mine", mine).withColumn("other", other)
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     piece = F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other"))
-    rows = dealt.select(piece.alias("piece"), "node", "label", F.col("no").cast("int").alias("no"), side.cast("int").alias("side"), "sig")
+    rows = dealt.select(piece.alias("piece"), "node", "label", F.col("no").cast("int").alias("no"), side.cast("int").alias("side"), "sig", "bands")
     wanted = checkpointed(_pieces(rows, least, None))
     return _pieces(wanted.join(bags, "node"), least, threshold).distinct()
 
@@ -326,7 +336,7 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", c
     labels = connected_components(links)
     labelled = shared.join(labels, "node", "left").select("band", "no", "node", "n", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    open_bands = labelled.join(split, "band").join(signed.select("node", "sig"), "node")
+    open_bands = labelled.join(split, "band").join(signed.select("node", "sig", "bands"), "node")
     more = checkpointed(_other_links(open_bands, bags, threshold, t))
     if not more.isEmpty():
         links = links.unionAll(more)

@@ -125,6 +125,14 @@ def test_near_duplicate_families(spark, block, monkeypatch):
     assert [got[r[0]] for r in rows] == classes(rows)
 
 
+def test_near_duplicates_seen_by_band_key(spark):
+    """Low bytes that agree in earlier bands are no meeting there if the bands' keys differ."""
+    keys = [[100 * node + band if band < 5 else band for band in range(minhash.BANDS)] for node in (1, 2)]
+    shared = spark.createDataFrame([(5, 5, node, 2, node, bytes(minhash.COORDINATES), keys[node - 1]) for node in (1, 2)], "band long, no int, node long, n long, label long, sig binary, bands array<long>")
+    bags = spark.createDataFrame([(node, list(range(50))) for node in (1, 2)], "node long, bag array<long>")
+    assert [tuple(r) for r in minhash._other_links(shared, bags, 0.8, minhash.COORDINATES).collect()] == [(1, 2)]
+
+
 def test_token_counts(docs, rows):
     model = piece_model()
     starts, inner = map(set, token_counts.vocabulary_of_pieces(model))
