@@ -312,7 +312,9 @@ def _other_links(shared: DataFrame, bags: DataFrame, threshold: float, t: int) -
 def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", carry: list[str] | None = None, threshold: float = 0.8, t: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """df's columns (or those in `carry`) with class_id, the least id of the row's class, node and n_links.
 
-    n_links counts the verified links that tie the row's text to other texts of its class. The text itself is only moved
+    n_links counts the spanning links found for the row's text: verified links to hubs, and those that joined two components.
+    Similar texts already in one component are not linked again, so it is at most the number of similar texts and depends on the
+    search order; class_id does not. The text itself is only moved
     for nodes that share a band.
     """
     made = {"class_id", "node", "n_links"}
