@@ -9,13 +9,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
@@ -119,7 +120,7 @@ def reuse_memory() -> None:
         libc.mallopt(-1, 64 << 20)
 
 
-def mapped(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> Callable[[DataFrame], DataFrame]:
+def mapped(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> Callable[[DataFrame], DataFrame]:
     """A transform that is mapInArrow(run, schema) in bounded memory.
 
     Arrow batches hold at most BATCH_BYTES and a row, unless the session already sets a bound: rows of long texts otherwise fill large
@@ -149,13 +150,81 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """Cut lineage in the folder that spark.checkpoint.dir names; a folder of our own only where it is unset and the master is local."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
     return df.checkpoint()
 
 
+ROW = "_row"
+
+
+def named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_columns(df: DataFrame, carry: list[str] | None, made: Iterable[str]) -> list[str]:
+    """The columns to carry: all of df's or those named, but none called like a result (in any case of letters)."""
+    taken = {m.lower() for m in made}
+    return [c for c in (df.columns if carry is None else carry) if c.lower() not in taken]
+
+
+def packed(carry: list[str]) -> Column:
+    """The carried columns as one struct, so that no name of theirs meets one of an operator's own; true where there are none."""
+    return (F.struct(*map(named, carry)) if carry else F.lit(True)).alias(ROW)
+
+
+def unpacked(df: DataFrame, carry: list[str], *made: str | Column) -> DataFrame:
+    """The carried columns, then the results."""
+    return df.select(*([f"{ROW}.*"] if carry else []), *made)
+
+
+def with_fields(df: DataFrame, columns: list[str], made: str) -> StructType:
+    """The schema of some columns of df followed by the fields of a DDL string."""
+    return StructType([df.schema[c] for c in columns] + StructType.fromDDL(made).fields)
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Whole groups of rows of equal key from batches sorted by it; several groups at once, no more held than the open group and a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = column(batch, key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or column(held[-1], key)[-1].as_py() != keys[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks()
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "left", stats: DataFrame | None = None, share: int = 1000) -> DataFrame:
+    """rows joined to a table of one row a key; a key of more than 1 / share of the rows is spread over tasks.
+
+    Rows and table share the column `key` alone; `by` is a column of the rows that tells the rows of a key apart. At most `share` keys can
+    be that frequent, so the list of them is broadcast; the table's rows of these keys are repeated once for each part.
+    Frequencies are counted on `stats`, a cheaper table with the same keys as the rows, where it is given.
+    """
+    stats = rows if stats is None else stats
+    least = max(1, stats.count() // share)
+    hot = stats.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).where(F.col(key).isNotNull())
+    hot = checkpointed(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / least).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    few = F.broadcast(hot)
+    dealt = rows.join(few, rows[key] == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by, F.lit(61)), F.col("_parts")).cast("int"), F.lit(0))).drop("_hot", "_parts")
+    repeated = table.join(few, table[key] == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")
+
+
 def broadcast_if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, counted first; beyond that joins shuffle it."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

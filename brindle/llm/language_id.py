@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, broadcast_if_small, checkpointed, column, mapped, mix64, record, text_slices
+from .arrow_text import ROW, U64, broadcast_if_small, checkpointed, column, kept_columns, mapped, mix64, named, packed, record, text_slices, unpacked, with_fields
 
 UNDETERMINED = "und"
 
@@ -111,7 +111,7 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang", dims: int = 4096, clusters: int = 4, per_lang: int = 300, slack: float = 0.5) -> Model:
     """Fit on all rows of training (frequencies) and a bounded sample of them (centroids)."""
-    training = training.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    training = training.where(named(lang).isNotNull()).select(named(lang).alias("lang"), named(text).alias("text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(dims, np.int64), 0
@@ -184,20 +184,19 @@ def classify(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.
 def identify_languages(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred, score (0 to 1) and rejected."""
     made = ["lang_pred", "score", "rejected"]
-    carry = [c for c in df.columns if c not in made]
-    source = df.select(*carry)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
+    carry = kept_columns(df, None, made)
+    source = df.select(packed(carry), named(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs: list[str] = []
             scores, gone = [np.zeros(0)], [np.zeros(0, bool)]
-            for _, _, texts in _text_rows(batch, text):
+            for _, _, texts in _text_rows(batch, "_text"):
                 a, b, c = classify(texts, model)
                 langs += a
                 scores.append(b)
                 gone.append(c)
-            arrays = [*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(gone))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *made])
+            arrays = [column(batch, ROW), pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(gone))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[ROW, *made])
 
-    return source.transform(mapped(run, ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"])))
+    return unpacked(source.transform(mapped(run, with_fields(source, [ROW], "lang_pred string, score double, rejected boolean"))), carry, *made)

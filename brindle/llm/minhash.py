@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, as_long, checkpointed, column, mapped, mix64, record, reuse_memory, text_slices, word_hashes
+from .arrow_text import ROW, U64, as_long, checkpointed, column, kept_columns, mapped, mix64, named, packed, record, reuse_memory, sorted_runs, spread_join, text_slices, unpacked, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -189,22 +189,8 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             yield record(schema, column(batch, "a").take(pa.array(good, pa.int64())), column(batch, "b").take(pa.array(good, pa.int64())))
 
     of = lambda c: bags.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "bag_a", "bag_b").transform(mapped(run, "a long, b long"))
-
-
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole groups of rows of equal key from batches sorted by it; several groups at once."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        keys = table.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        rest = table.slice(cut)
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks()
+    pairs = spread_join(spread_join(pairs, of("a"), "a", "b", "inner"), of("b"), "b", "a", "inner")
+    return pairs.select("a", "b", "bag_a", "bag_b").transform(mapped(run, "a long, b long"))
 
 
 def _candidates(sig: np.ndarray, keys: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarray, i: int, least: float) -> np.ndarray:
@@ -253,7 +239,7 @@ def _pieces(rows: DataFrame, least: float, threshold: float | None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_memory()
-        for table in _runs(batches, "piece"):
+        for table in sorted_runs(batches, "piece"):
             piece, node, label, no, side = (table.column(c).to_numpy() for c in ("piece", "node", "label", "no", "side"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
             keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
@@ -318,34 +304,35 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", c
     for nodes that share a band.
     """
     made = {"class_id", "node", "n_links"}
-    carry = [c for c in (df.columns if carry is None else carry) if c not in made]
-    worded = F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text))
-    docs = df.withColumn("_node", worded)
-    ids = checkpointed(docs.select(F.col(row_id).alias("_id"), "_node"))
-    first = checkpointed(ids.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("_first")))
+    carry = kept_columns(df, carry, made)
+    body = named(text)
+    docs = df.select(packed(carry), named(row_id).alias("_id"), F.when(body.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(body)).alias("node"), body.alias("text"))
+    ids = checkpointed(docs.select("_id", "node"))
+    first = checkpointed(ids.where("node is not null").groupBy("node").agg(F.min("_id").alias("_first")))
     # every row is signed and copies are dropped after it: moving texts to sign each once would cost more
-    signed = checkpointed(_signed(docs.where("_node is not null").select(F.col("_node").alias("node"), F.col(text).alias("text")), t, bands).dropDuplicates(["node"]))
+    signed = checkpointed(_signed(docs.where("node is not null").select("node", "text"), t, bands).dropDuplicates(["node"]))
     all_bands = signed.select(F.posexplode("bands").alias("no", "band"), "node")
-    shared = checkpointed(all_bands.join(all_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    shared = checkpointed(spread_join(all_bands, all_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band", "node", "inner"))
     score = shared.groupBy("node").agg(F.sum(F.log("n")).alias("score"))
     hubs = shared.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
-    hub_pairs = shared.join(hubs, "band").where("node != hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    needed = shared.select("node").distinct().join(first.withColumnRenamed("_node", "node"), "node")
-    texts = docs.select(F.col("_node"), F.col(row_id).alias("_id"), F.col(text).alias("text"))
-    wanted = texts.join(needed.withColumnRenamed("node", "_n"), (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
-    bags = checkpointed(_bags(wanted.select(F.col("_node").alias("node"), "text")).dropDuplicates(["node"]))
+    hub_pairs = spread_join(shared, hubs, "band", "node", "inner").where("node != hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    hub_pairs = checkpointed(hub_pairs.distinct())
+    needed = shared.select(F.col("node").alias("_n")).distinct().join(first.withColumnRenamed("node", "_n"), "_n")
+    wanted = docs.select("node", "_id", "text").join(needed, (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
+    bags = checkpointed(_bags(wanted.select("node", "text")).dropDuplicates(["node"]))
     links = checkpointed(_verified(hub_pairs, bags, threshold))
     labels = connected_components(links)
     labelled = shared.join(labels, "node", "left").select("band", "no", "node", "n", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    open_bands = labelled.join(split, "band").join(signed.select("node", "sig", "bands"), "node")
+    open_bands = spread_join(labelled, split, "band", "node", "inner", shared).join(signed.select("node", "sig", "bands"), "node")
     more = checkpointed(_other_links(open_bands, bags, threshold, t))
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = connected_components(links)
-    degree = links.selectExpr("a as _node").unionAll(links.selectExpr("b as _node")).groupBy("_node").agg(F.count(F.lit(1)).alias("_links"))
-    classes = first.join(labels.withColumnRenamed("node", "_node"), "_node", "left").select("_node", "_first", F.coalesce("label", "_node").alias("_label"))
+    degree = links.selectExpr("a as node").unionAll(links.selectExpr("b as node")).groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
+    classes = first.join(labels, "node", "left").select("node", "_first", F.coalesce("label", "node").alias("_label"))
     least_id = classes.groupBy("_label").agg(F.min("_first").alias("_class"))
-    classes = classes.join(least_id, "_label").join(degree, "_node", "left").select(F.col("_node").alias("_n"), "_class", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
-    joined = docs.select(*carry, F.col(row_id).alias("_id"), "_node").join(classes, F.col("_node") == F.col("_n"), "left")
-    return joined.select(*carry, F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_class")).alias("class_id"), F.col("_node").alias("node"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = spread_join(classes, least_id, "_label", "node").join(degree, "node", "left").select("node", "_class", F.coalesce("_links", F.lit(0)).cast("long").alias("_links"))
+    joined = spread_join(docs.select(ROW, "_id", "node"), classes, "node", "_id", "left", ids)
+    class_id = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("_class")).alias("class_id")
+    return unpacked(joined, carry, class_id, "node", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))

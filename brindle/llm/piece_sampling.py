@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, column, mapped, mix64, powers, reuse_memory, text_slices
+from .arrow_text import ROW, U64, column, kept_columns, mapped, mix64, named, packed, powers, reuse_memory, text_slices, unpacked, with_fields
 
 SPACE = 0x2581
 TABLE_BITS = 18
@@ -269,9 +269,8 @@ def encode_sampled(df: DataFrame, model: bytes, text: str = "text", row_id: str
     The model file (some hundred kB) is broadcast.
     """
     made = ["pieces", "n_pieces", "lossless"]
-    carry = [c for c in (df.columns if carry is None else carry) if c not in made]
-    source = df.select(*carry, F.col(text).alias("_text"), F.xxhash64(F.col(row_id), F.lit(seed)).alias("_key"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in carry]
+    carry = kept_columns(df, carry, made)
+    source = df.select(packed(carry), named(text).alias("_text"), F.xxhash64(named(row_id), F.lit(seed)).alias("_key"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,23 +291,23 @@ def encode_sampled(df: DataFrame, model: bytes, text: str = "text", row_id: str
                 ok = valid[lo:hi]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(~ok))
                 part = batch.slice(lo, hi - lo)
-                arrays = [*(column(part, c) for c in carry), lists, pa.array(counts, mask=~ok), pa.array(same, mask=~ok)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *made])
+                arrays = [column(part, ROW), lists, pa.array(counts, mask=~ok), pa.array(same, mask=~ok)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[ROW, *made])
 
-    return source.transform(mapped(run, ", ".join([*fields, "pieces array<int>", "n_pieces long", "lossless boolean"])))
+    return unpacked(source.transform(mapped(run, with_fields(source, [ROW], "pieces array<int>, n_pieces long, lossless boolean"))), carry, *made)
 
 
 def decode_pieces(df: DataFrame, model: bytes, pieces: str = "pieces", text: str = "text") -> DataFrame:
     """df with the text of its pieces."""
-    source = df.select(*[c for c in df.columns if c != text])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
+    carry = kept_columns(df, None, [text])
+    source = df.select(packed(carry), named(pieces).alias("_pieces"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None
         for batch in batches:
             known = known or Pieces(shared.value)
-            texts = [known.decode(x.values.to_numpy()).decode("utf-8") if x.is_valid and len(x.values) else ("" if x.is_valid else None) for x in column(batch, pieces)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+            texts = [known.decode(x.values.to_numpy()).decode("utf-8") if x.is_valid and len(x.values) else ("" if x.is_valid else None) for x in column(batch, "_pieces")]
+            yield pa.RecordBatch.from_arrays([column(batch, ROW), pa.array(texts, pa.string())], names=[ROW, "_text"])
 
-    return source.transform(mapped(run, ", ".join([*fields, f"`{text}` string"])))
+    return unpacked(source.transform(mapped(run, with_fields(source, [ROW], "_text string"))), carry, F.col("_text").alias(text))

@@ -45,7 +45,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    return mixing.mix(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "takes")
 
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import checkpointed
+from .arrow_text import checkpointed, kept_columns, named, packed, unpacked
 
 KEYS = ("_k1", "_k2", "_k3")
 TOP = 1 << 62
@@ -90,14 +90,15 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 24, text: str = "text", row_id
     carried columns, so row numbers stay what they are if an executor is lost.
     """
     made = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
-    carry = [c for c in (df.columns if carry is None else carry) if c not in made]
+    carry = kept_columns(df, carry, made)
+    body = named(text)
     keyed = checkpointed(
         df.select(
-            *carry,
-            (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("_size"),
-            F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("_crc"),
-            F.shiftrightunsigned(F.xxhash64(text), 2).alias("_k1"),
-            F.shiftrightunsigned(F.xxhash64(row_id), 2).alias("_k2"),
+            packed(carry),
+            (F.coalesce(F.octet_length(body), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("_size"),
+            F.coalesce(F.crc32(F.encode(body, "UTF-8")), F.lit(0)).cast("long").alias("_crc"),
+            F.shiftrightunsigned(F.xxhash64(body), 2).alias("_k1"),
+            F.shiftrightunsigned(F.xxhash64(named(row_id)), 2).alias("_k2"),
             F.monotonically_increasing_id().alias("_k3"),
         )
     )
@@ -109,8 +110,9 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 24, text: str = "text", row_id
     before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("shard", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     numbered = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy(*KEYS)))
-    return numbered.join(offsets, ["shard", "_chunk"]).select(
-        *carry,
+    return unpacked(
+        numbered.join(offsets, ["shard", "_chunk"]),
+        carry,
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),

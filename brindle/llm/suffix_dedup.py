@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, as_long, checkpointed, column, mapped, mix64, parts_for, record, reuse_memory, text_slices
+from .arrow_text import ROW, U64, as_long, checkpointed, column, kept_columns, mapped, mix64, named, packed, parts_for, record, reuse_memory, sorted_runs, text_slices, unpacked, with_fields
 
 LENGTH = 100
 GRAM = 32
@@ -220,29 +220,27 @@ _MARKS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.in
 
 
 def _marks(strings: DataFrame, length: int, parts: int) -> DataFrame:
-    """Repeats found by equal strings (anchor null), and strings still to compare (with their anchor)."""
+    """Repeats found by equal strings (anchor null), and strings still to compare (with their anchor).
+
+    A partition is sorted by Spark, which spills, and read as a stream of whole anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []
-        for batch in batches:
-            route, content, doc, packed, windows = (np.asarray(c) for c in batch.columns)
+        for table in sorted_runs(batches, "route"):
+            route, content, doc, packed_form, windows = (table.column(c).to_numpy() for c in _STRINGS.names)
             done = windows > 0
             if done.any():
-                yield record(_MARKS, pa.nulls(int(done.sum()), pa.int64()), doc[done], packed[done], windows[done])
-            kept.append(tuple(x[~done] for x in (route, content, doc, packed)))
-        if not kept:
-            return
-        anchor, content, doc, packed = (np.concatenate(x) for x in zip(*kept, strict=True))
-        kept.clear()
-        order, new = _firsts(anchor, content, doc, packed)
-        d, s, n = _joined_runs(doc[order[~new]], *_start_and_windows(packed[order[~new]]))
-        yield record(_MARKS, pa.nulls(len(d), pa.int64()), d, s, n)
-        first = order[new]
-        which, start, windows = shared_part(anchor[first], packed[first], length)
-        left = first[which]
-        yield record(_MARKS, anchor[left], doc[left], start, windows)
-
-    return strings.repartition(parts, "route").transform(mapped(run, "anchor long, doc long, start long, windows long"))
+                yield record(_MARKS, pa.nulls(int(done.sum()), pa.int64()), doc[done], packed_form[done], windows[done])
+            anchor, content, doc, packed_form = (x[~done] for x in (route, content, doc, packed_form))
+            order, new = _firsts(anchor, content, doc, packed_form)
+            d, s, n = _joined_runs(doc[order[~new]], *_start_and_windows(packed_form[order[~new]]))
+            yield record(_MARKS, pa.nulls(len(d), pa.int64()), d, s, n)
+            first = order[new]
+            which, start, windows = shared_part(anchor[first], packed_form[first], length)
+            left = first[which]
+            yield record(_MARKS, anchor[left], doc[left], start, windows)
+
+    return strings.repartition(parts, "route").sortWithinPartitions("route").transform(mapped(run, "anchor long, doc long, start long, windows long"))
 
 
 def shared_part(anchor: np.ndarray, packed: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,24 +375,22 @@ def _compared(candidates: DataFrame, length: int, parts: int) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        anchor, doc, start = (table.column(c).to_numpy() for c in ("anchor", "doc", "start"))
-        sizes = np.asarray(pa.compute.binary_length(table.column("string"))).astype(np.int64)
-        order = np.lexsort((start, doc, anchor))
-        group_end = np.flatnonzero(np.append(anchor[order][1:] != anchor[order][:-1], True)) + 1
-        filled = np.cumsum(sizes[order])
-        lo = 0
-        while lo < len(order):
-            goal = (filled[lo - 1] if lo else 0) + MERGE_BYTES
-            hi = int(group_end[min(np.searchsorted(group_end, max(lo + 1, np.searchsorted(filled, goal))), len(group_end) - 1)])
-            some = order[lo:hi]
-            texts = table.column("string").take(pa.array(some)).to_pylist()
-            yield record(schema, *repeated_windows(texts, doc[some], start[some], length))
-            lo = hi
-
-    return candidates.repartition(parts, "anchor").transform(mapped(run, "doc long, start long, windows long"))
+        for table in sorted_runs(batches, "anchor"):
+            anchor, doc, start = (table.column(c).to_numpy() for c in ("anchor", "doc", "start"))
+            sizes = np.asarray(pa.compute.binary_length(table.column("string"))).astype(np.int64)
+            order = np.lexsort((start, doc, anchor))
+            group_end = np.flatnonzero(np.append(anchor[order][1:] != anchor[order][:-1], True)) + 1
+            filled = np.cumsum(sizes[order])
+            lo = 0
+            while lo < len(order):
+                goal = (filled[lo - 1] if lo else 0) + MERGE_BYTES
+                hi = int(group_end[min(np.searchsorted(group_end, max(lo + 1, np.searchsorted(filled, goal))), len(group_end) - 1)])
+                some = order[lo:hi]
+                texts = table.column("string").take(pa.array(some)).to_pylist()
+                yield record(schema, *repeated_windows(texts, doc[some], start[some], length))
+                lo = hi
+
+    return candidates.repartition(parts, "anchor").sortWithinPartitions("anchor").transform(mapped(run, "doc long, start long, windows long"))
 
 
 def _cut_strings(candidates: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -418,17 +414,17 @@ def _cut_strings(candidates: DataFrame, docs: DataFrame, length: int) -> DataFra
     return docs.join(per_doc, "doc").select("doc", "text", "found").transform(mapped(run, "anchor long, doc long, start long, string binary"))
 
 
-def ordered_documents(df: DataFrame, text: str, row_id: str) -> tuple[DataFrame, bool]:
-    """df with doc, a number for each (id, text) that keeps the order of ids: the id itself where that is a key; and whether it is."""
-    ids = df.select(F.col(row_id).cast("long").alias("_id"))
-    twice = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _id is null")
+def ordered_documents(df: DataFrame, carry: list[str], text: str, row_id: str) -> tuple[DataFrame, bool]:
+    """The packed row, _text and doc, a number for each (id, text) that keeps the order of ids: the id itself where that is a key; and whether it is."""
+    slim = df.select(packed(carry), named(text).alias("_text"), named(row_id).cast("long").alias("_id"))
+    twice = slim.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _id is null")
     if dict(df.dtypes)[row_id] in ("bigint", "int", "smallint", "tinyint") and twice.isEmpty():
-        return df.withColumn("doc", F.col(row_id).cast("long")), True
-    keyed = df.withColumn("_hash", F.xxhash64(text))
-    pairs = keyed.select(F.col(row_id).alias("_id"), F.col("_hash").alias("_h")).distinct()
-    pairs = pairs.repartitionByRange(parts_for(df), F.col("_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("_id").asc_nulls_first(), "_h")
+        return slim.withColumnRenamed("_id", "doc"), True
+    keyed = df.select(packed(carry), named(text).alias("_text"), named(row_id).alias("_id")).withColumn("_hash", F.xxhash64("_text"))
+    pairs = keyed.select("_id", F.col("_hash").alias("_h")).distinct().withColumnRenamed("_id", "_i")
+    pairs = pairs.repartitionByRange(parts_for(df), F.col("_i").asc_nulls_first(), "_h").sortWithinPartitions(F.col("_i").asc_nulls_first(), "_h")
     numbered = checkpointed(pairs.withColumn("doc", F.monotonically_increasing_id()))
-    return keyed.join(numbered, F.col(row_id).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))).drop("_id", "_h", "_hash"), False
+    return keyed.join(numbered, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select(ROW, "_text", "doc"), False
 
 
 def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, carry: list[str] | None = None, keep_text: bool = True) -> DataFrame:
@@ -438,9 +434,9 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", le
     kept_sha256 is of the exact remaining bytes.
     """
     made = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"}
-    carry = [c for c in (df.columns if carry is None else carry) if c not in made]
-    keyed, is_key = ordered_documents(df, text, row_id)
-    docs = keyed.select("doc", F.col(text).alias("text"))
+    carry = kept_columns(df, carry, made)
+    keyed, is_key = ordered_documents(df, carry, text, row_id)
+    docs = keyed.select("doc", F.col("_text").alias("text"))
     if not is_key:  # wholly equal rows are one document; met twice, all its strings would be repeats
         docs = docs.dropDuplicates(["doc"])
     parts = parts_for(df)
@@ -450,9 +446,7 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", le
     _drop_shuffles(df)
     spans = marks.where("anchor is null").select("doc", "start", "windows").unionAll(compared)
     per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("_found"))
-    source = keyed.select(*carry, F.col("doc").alias("_doc"), F.col(text).alias("_text"))
-    joined = source.join(per_doc, F.col("_doc") == F.col("doc"), "left").select(*carry, "_text", "_found")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in carry]
+    joined = keyed.join(per_doc, "doc", "left").select(ROW, "_text", "_found")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept_text"] if keep_text else [])]
     span_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
@@ -478,10 +472,10 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", le
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span_type, pa.string()]
             arrays = [pa.array(c, t) for c, t, _ in zip(columns, types, names, strict=False)]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carry), *arrays], names=[*carry, *names])
+            yield pa.RecordBatch.from_arrays([column(batch, ROW), *arrays], names=[ROW, *names])
 
-    schema = [*fields, "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "spans array<struct<`from`:long,`to`:long>>", *(["kept_text string"] if keep_text else [])]
-    return joined.transform(mapped(run, ", ".join(schema)))
+    schema = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "spans array<struct<`from`:long,`to`:long>>", *(["kept_text string"] if keep_text else [])]
+    return unpacked(joined.transform(mapped(run, with_fields(joined, [ROW], ", ".join(schema)))), carry, *names)
 
 
 def _drop_shuffles(df: DataFrame) -> None:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow_text import WORD_PATTERN, column, mapped
+from .arrow_text import ROW, WORD_PATTERN, column, kept_columns, mapped, named, packed, unpacked, with_fields
 
 WORD = re.compile(WORD_PATTERN)
 CACHED_WORDS = 400_000
@@ -107,11 +107,11 @@ def vocabulary_of_pieces(model: bytes) -> tuple[list[str], list[str]]:
     return [x[1:] for x in names if x.startswith("▁") and len(x) > 1], [x for x in names if not x.startswith("▁")]
 
 
-def count_pieces(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """df with n_words, n_pieces and n_unknown; the model file (some MB at most) goes to the tasks with the code."""
+def count_pieces(df: DataFrame, model: bytes, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """df's columns (or those in `carry`) with n_words, n_pieces and n_unknown; the model file (some MB at most) goes to the tasks with the code."""
     made = ["n_words", "n_pieces", "n_unknown"]
-    source = df.select(*[c for c in df.columns if c not in made])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
+    carry = kept_columns(df, carry, made)
+    source = df.select(packed(carry), named(text).alias("_text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +119,10 @@ def count_pieces(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
         for batch in batches:
             counter = counter or WordCounter(LongestMatch(*vocabulary_of_pieces(shared.value)))
             out = np.zeros((3, batch.num_rows), np.int64)
-            for i, value in enumerate(column(batch, text)):
+            for i, value in enumerate(column(batch, "_text")):
                 words = WORD.findall(value.as_py() or "")
                 total = sum(map(counter.__getitem__, words))
                 out[:, i] = len(words), total >> 32, total & 0xFFFFFFFF
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*batch.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([column(batch, ROW), *map(pa.array, out)], names=[ROW, *made])
 
-    return source.transform(mapped(run, ", ".join([*fields, *(f"{c} long" for c in made)])))
+    return unpacked(source.transform(mapped(run, with_fields(source, [ROW], ", ".join(f"{c} long" for c in made)))), carry, *made)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, WORD_BYTE, checkpointed, column, mapped, mix64, record, reuse_memory, span_hashes, text_slices, word_spans
+from .arrow_text import ROW, U64, WORD_BYTE, column, kept_columns, mapped, mix64, named, packed, record, reuse_memory, span_hashes, text_slices, unpacked, with_fields, word_spans
 from .ngram_quality import base_figures
 
 LABELLERS = ("length", "symbols", "marks_in_words", "repeats", "lines", "capitals", "word_length", "sentences", "variety", "bars")
@@ -149,8 +149,8 @@ def train(rows: np.ndarray, at: np.ndarray, weight: np.ndarray, goal: np.ndarray
 def weak_scores(df: DataFrame, text: str = "text", carry: list[str] | None = None, fit_rows: int = 4000, threshold: float = 0.5) -> DataFrame:
     """df's columns (or those in `carry`) with votes (one digit a labeller: 0 none, 1 good, 2 bad), posterior, score and kept."""
     made = ["votes", "posterior", "score", "kept"]
-    carry = [c for c in (df.columns if carry is None else carry) if c not in made]
-    docs = df.select(F.col(text).alias("text"))
+    carry = kept_columns(df, carry, made)
+    docs = df.select(named(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_memory()
@@ -170,7 +170,6 @@ def weak_scores(df: DataFrame, text: str = "text", carry: list[str] | None = Non
     total = int(counts.sum())
     drawn = docs.where(F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text", F.lit(29)))
     drawn = drawn.where(F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < F.lit(2.0 * fit_rows / max(total, 1)))
-    drawn = drawn.groupBy("_h").agg(F.first("text").alias("text")).orderBy("_h").limit(fit_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("goal", pa.float64()), ("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
@@ -182,12 +181,12 @@ def weak_scores(df: DataFrame, text: str = "text", carry: list[str] | None = Non
                 bounds = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
                 yield record(schema, hashes[lo:hi], goal, pa.ListArray.from_arrays(pa.array(bounds), pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(w.astype(np.float32))))
 
-    sample = drawn.transform(mapped(extract, "h long, goal double, at array<int>, weight array<float>")).orderBy("h").toArrow()
+    extracted = drawn.transform(mapped(extract, "h long, goal double, at array<int>, weight array<float>"))
+    sample = extracted.groupBy("h").agg(*[F.first(c).alias(c) for c in ("goal", "at", "weight")]).orderBy("h").limit(fit_rows).toArrow()
     sizes = np.asarray(pa.compute.list_value_length(sample.column("at").combine_chunks())).astype(np.int64)
     flat_at, flat_weight = (np.asarray(pa.compute.list_flatten(sample.column(c).combine_chunks())) for c in ("at", "weight"))
     model = train(np.repeat(np.arange(sample.num_rows), sizes), flat_at.astype(np.int64), flat_weight.astype(np.float64), sample.column("goal").to_numpy())
-    source = df.select(*carry, F.col(text).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in carry]
+    source = df.select(packed(carry), named(text).alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_memory()
@@ -196,11 +195,11 @@ def weak_scores(df: DataFrame, text: str = "text", carry: list[str] | None = Non
                 v = votes(data, offsets)
                 r, f, w = features(data, offsets)
                 z = np.bincount(r, weights=w * model[f], minlength=hi - lo) + model[-1]
-                empty = (v == NONE).all(axis=1)
+                empty = np.bincount(r, minlength=hi - lo) == 0
                 s = np.where(empty, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
                 p = np.where(empty, 0.0, table[pattern_codes(v)])
                 names = ["".join(map(str, x)) for x in v.tolist()]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in carry), pa.array(names, pa.string()), pa.array(p), pa.array(s), pa.array(s >= threshold)], names=[*carry, *made])
+                yield pa.RecordBatch.from_arrays([column(part, ROW), pa.array(names, pa.string()), pa.array(p), pa.array(s), pa.array(s >= threshold)], names=[ROW, *made])
 
-    return source.transform(mapped(score, ", ".join([*fields, "votes string", "posterior double", "score double", "kept boolean"])))
+    return unpacked(source.transform(mapped(score, with_fields(source, [ROW], "votes string, posterior double, score double, kept boolean"))), carry, *made)
