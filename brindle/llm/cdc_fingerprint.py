@@ -1,14 +1,14 @@
 """Document fingerprints from content-defined chunks.
 
-A 32-bit gear hash of the last 32 bytes is compared with a strict mask below the normal chunk size and with a
+A 32-bit gear hash of the last 4 bytes is compared with a strict mask below the normal chunk size and with a
 loose one above it (normalised chunking), between a least and a most chunk size, so boundaries depend
 on nearby bytes alone and move with them. A fingerprint is the set of chunk digests with the bytes of the
 chunk as weight; containment of one document in another is the share of its weight that the other has.
-The hash of a whole slice is computed at once by doubling.
+The hash of a whole slice is computed at once by doubling. Chunks are short (about 12 bytes), so that texts of a few words still have some.
 
-The comparison with the next document needs order by id: rows go once to contiguous id ranges, the first row
+The comparison with the next document needs order by id: rows go once to contiguous ranges of (id, text hash), the first row
 of a range goes to the range before as well, and each range is read as a stream. Only range boundaries
-reach the driver.
+reach the driver. An id that many rows share (null is one) is cut by text hash; only wholly equal rows of one id stay in one range.
 
 Null texts are empty; an empty document has an empty fingerprint, which is contained in itself alone (1) and in no
 other, nor any other in it (0). Null ids come first. Rows of equal id are ordered by the hash of their
@@ -19,22 +19,25 @@ like the results are replaced.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import column, mapped, parts_for, reuse_memory
+from .arrow_text import ROW, column, kept_columns, mapped, named, packed, parts_for, reuse_memory, unpacked, with_fields
 
-WINDOW = 32
-LEAST, NORMAL, MOST = 32, 128, 512
-STRICT, LOOSE = np.uint32(0xFF << 24), np.uint32(0x3F << 26)
+WINDOW = 4  # at most LEAST, so that no boundary depends on what lies before the text
+LEAST, NORMAL, MOST = 4, 12, 48
+STRICT, LOOSE = np.uint32(0xF << 10), np.uint32(0x3 << 12)  # bits that depend on all bytes of the window
+DIGEST_BYTES = 5
 RANGE_BYTES = 16 << 20
 BATCH_CHARS = 1 << 18
-#: The ranges are told apart by one expression; beyond this many they grow instead (each is sorted externally and streamed).
-MOST_RANGES = 2048
+#: Boundaries are one literal that rows are searched in; beyond this many ranges they grow instead (each is sorted externally and streamed).
+MOST_RANGES = 1 << 16
+LOWEST = -(1 << 63)
 
 _GEAR = np.random.RandomState(15485863).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -84,7 +87,7 @@ def chunk_sets(texts: list[bytes]) -> list[dict[bytes, int]]:
         a, z = bounds[i], bounds[i + 1]
         chunks, start = {}, 0
         for end in chunk_ends((at[a:z] - offsets[i]).tolist(), strict[a:z].tolist(), len(text)):
-            chunks[digest(text[start:end], digest_size=8).digest()] = end - start
+            chunks[digest(text[start:end], digest_size=DIGEST_BYTES).digest()] = end - start
             start = end
         out.append(chunks)
     return out
@@ -110,59 +113,78 @@ def edited(text: str, following: str) -> str:
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """df with fingerprint, for use without neighbours."""
-    source = df.select(*[c for c in df.columns if c != "fingerprint"])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
+    carry = kept_columns(df, None, ["fingerprint"])
+    source = df.select(packed(carry), named(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints: list[str] = []
             for at in range(0, batch.num_rows, 256):
-                prints += map(as_text, chunk_sets([(t or "").encode() for t in column(batch.slice(at, 256), text).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*batch.schema.names, "fingerprint"])
-
-    return source.transform(mapped(run, ", ".join([*fields, "fingerprint string"])))
-
-
-def _ranged(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    """df in ranges of ids: columns _range, _tail (a copy of the next range's first row), _key and _hash added."""
-    least = -(1 << 63)
-    keyed = df.withColumn("_key", F.coalesce(F.col(row_id).cast("long"), F.lit(least))).withColumn("_text", F.coalesce(text, F.lit("")))
-    size = keyed.agg(F.sum(F.octet_length("_text") + 64)).first()[0] or 0
-    parts = min(MOST_RANGES, max(parts_for(df), -(-size // RANGE_BYTES)))
-    cuts = sorted(set(keyed.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [])) if parts > 1 else []
-    index = _binary_search("_key", cuts)
-    firsts = sorted((r["_range"], r["first"]) for r in keyed.groupBy(index.alias("_range")).agg(F.min("_key").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    copies = F.array(F.struct(index.alias("range"), F.lit(False).alias("tail")))
+                prints += map(as_text, chunk_sets([(t or "").encode() for t in column(batch.slice(at, 256), "_text").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([column(batch, ROW), pa.array(prints, pa.string())], names=[ROW, "fingerprint"])
+
+    return unpacked(source.transform(mapped(run, with_fields(source, [ROW], "fingerprint string"))), carry, "fingerprint")
+
+
+def _cuts(keyed: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Ascending boundaries (_key, _hash) of about equal bytes: quantiles of ids, and even cuts of the text hash within ids of many bytes."""
+    size = F.octet_length("_text") + 64
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    parts = min(MOST_RANGES, max(parts, -(-total // RANGE_BYTES)))
+    if parts < 2 or not total:
+        return []
+    share = -(-total // parts)
+    quantiles = keyed.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    heavy = keyed.groupBy("_key").agg(F.sum(size).alias("n"), F.count(F.lit(1)).alias("rows")).where((F.col("n") > 2 * share) & (F.col("rows") > 1)).collect()  # at most parts / 2
+    cuts = {(k, LOWEST) for k in quantiles}
+    for r in heavy:
+        pieces = -(-r["n"] // share)
+        cuts |= {(r["_key"], LOWEST + (1 << 64) * i // pieces) for i in range(pieces)}
+    return sorted(cuts)
+
+
+def _below(cuts: list[tuple[int, int]]) -> Column:
+    """How many of the ascending boundaries are at most the row's (_key, _hash): a binary search in a literal."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*[F.struct(F.lit(k).cast("long").alias("_key"), F.lit(h).cast("long").alias("_hash")) for k, h in cuts]) if len(cuts) < 256 else F.from_json(F.lit(json.dumps([{"_key": k, "_hash": h} for k, h in cuts])), "array<struct<_key:long,_hash:long>>")
+    row = F.struct("_key", "_hash")
+    state = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = (s["lo"] < s["hi"]) & (row >= F.get(table, mid))
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~up, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), state, step, lambda s: s["lo"])
+
+
+def _ranged(df: DataFrame, carry: list[str], text: str, row_id: str) -> DataFrame:
+    """The packed rows in ranges of (id, text hash): columns _text, _range, _tail (a copy of the next range's first row), _key and _hash."""
+    keyed = df.select(packed(carry), F.coalesce(named(row_id).cast("long"), F.lit(LOWEST)).alias("_key"), F.coalesce(named(text), F.lit("")).alias("_text"))
+    keyed = keyed.withColumn("_hash", F.xxhash64("_text"))
+    cuts = _cuts(keyed, parts_for(df))
+    indexed = keyed.withColumn("_range", _below(cuts))
+    first = F.min(F.struct("_key", "_hash")).alias("first")
+    firsts = sorted((r["_range"], (r["first"]["_key"], r["first"]["_hash"])) for r in indexed.groupBy("_range").agg(first).collect())
+    before = [(at, firsts[i - 1][0]) for i, (_, at) in enumerate(firsts)]  # the range before each range's first row
+    none = F.array(F.struct(F.col("_range").alias("range"), F.lit(False).alias("tail")))
+    copies = none
     if before:
-        pairs = sorted(before.items())
-        spot = _binary_search("_key", [p[0] for p in pairs]) - 1
-        starts, previous = (F.array(*[F.lit(x) for x in xs]) for xs in zip(*pairs, strict=True))
-        is_first = F.element_at(starts, spot + 1) == F.col("_key")
-        copies = F.when((spot >= 0) & is_first, F.concat(copies, F.array(F.struct(F.element_at(previous, spot + 1).alias("range"), F.lit(True).alias("tail"))))).otherwise(copies)
-    dealt = keyed.withColumn("_hash", F.xxhash64("_text")).withColumn("_copy", F.explode(copies)).withColumn("_range", F.col("_copy.range")).withColumn("_tail", F.col("_copy.tail"))
-    ranges = len(cuts) + 1
-    return dealt.repartitionById(ranges, F.col("_range")).sortWithinPartitions("_range", "_tail", "_key", "_hash")
-
-
-def _binary_search(name: str, cuts: list[int]):
-    """How many of the ascending cuts are at most the column's value, as nested comparisons."""
-
-    def split(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(name) >= F.lit(cuts[mid]), split(mid + 1, hi)).otherwise(split(lo, mid))
-
-    return split(0, len(cuts)).cast("int")
+        spot = _below([at for at, _ in before]) - 1
+        known = F.from_json(F.lit(json.dumps([{"_key": k, "_hash": h, "_to": to} for (k, h), to in before])), "array<struct<_key:long,_hash:long,_to:int>>")
+        found = F.get(known, spot)
+        is_first = (spot >= 0) & (found["_key"] == F.col("_key")) & (found["_hash"] == F.col("_hash"))
+        copies = F.when(is_first, F.concat(none, F.array(F.struct(found["_to"].alias("range"), F.lit(True).alias("tail"))))).otherwise(none)
+    dealt = indexed.withColumn("_copy", F.explode(copies)).withColumn("_range", F.col("_copy.range")).withColumn("_tail", F.col("_copy.tail"))
+    return dealt.repartitionById(len(cuts) + 1, F.col("_range")).sortWithinPartitions("_range", "_tail", "_key", "_hash")
 
 
 def compare_edited(df: DataFrame, text: str = "text", row_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """df's columns (or those in `carry`) with n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     made = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    carry = [c for c in (df.columns if carry is None else carry) if c not in made]
-    source = _ranged(df.select(*dict.fromkeys([*carry, text, row_id])), text, row_id).select(*carry, "_text", "_range", "_tail")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in carry]
+    carry = kept_columns(df, carry, made)
+    source = _ranged(df, carry, text, row_id).select(ROW, "_text", "_range", "_tail")
 
     def compared(rows: pa.RecordBatch, texts: list[str], following: str) -> pa.RecordBatch:
         after = [*texts[1:], following]
@@ -179,7 +201,7 @@ def compare_edited(df: DataFrame, text: str = "text", row_id: str = "doc_id", ca
             pa.array([containment(a, b) for a, b in zip(own, new, strict=False)], pa.float64()),
             pa.array([containment(a, b) for a, b in zip(own[:n], own[1:], strict=True)], pa.float64()),
         ]
-        return pa.RecordBatch.from_arrays([*(column(rows, c) for c in carry), *columns], names=[*carry, *made])
+        return pa.RecordBatch.from_arrays([column(rows, ROW), *columns], names=[ROW, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_memory()
@@ -200,5 +222,5 @@ def compare_edited(df: DataFrame, text: str = "text", row_id: str = "doc_id", ca
                 at = max(to, at + 1)
             last = rows.slice(end, 1)
 
-    return source.transform(mapped(run, ", ".join([*fields, "n_chars long", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double"])))
-
+    made_types = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return unpacked(source.transform(mapped(run, with_fields(source, [ROW], made_types))), carry, *made)
