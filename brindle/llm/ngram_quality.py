@@ -1,41 +1,43 @@
-"""Perplexity bands from a modified Kneser-Ney character model, with plain quality rules.
+"""Perplexity bands from modified Kneser-Ney models of code points, with plain quality rules.
 
-Text becomes one of 32 symbols a character (letters without case or accents, gaps, digits, two classes of other
-letters, two of marks). Spark counts the four-symbol strings of every document of each language; the
-counts sum map-side arrays, so what moves grows with the input while a model has at most
-32 ** 4 strings a language. Languages beyond the `most_langs` largest share one model, which bounds what is
-broadcast (about 16 MB a language at the very most, a fraction of that for real text). Discounts come from
-the counts of counts of each order; lower orders use continuation counts. The models are kept as sorted arrays of
-hashed strings with their log probabilities and back-off weights, and a worker expands them once.
+Spark counts the strings of `ORDER` code points of every document, apart for each language and each half of the documents (by the hash of the
+text, so equal texts are in one half). A document is scored by the model of its language that was counted on the other half, so no document
+is judged by counts of its own. Lower orders use continuation counts, discounts come from the counts of counts of each order, and the
+probabilities of each order are joined to those of the next lower one, all as Spark tables keyed by language: no language is merged with
+another, no string is folded or left out, and the tables grow with the text.
+
+For scoring, strings and contexts are hashed to 64 bits and held as sorted arrays with their log probabilities and back-off weights. While all
+models together have at most `most_entries` entries (12 bytes each; counted first) the arrays are broadcast. Beyond that, documents go to blocks
+of about `BLOCK_BYTES` by hash, each block asks the table for the strings it has, and is scored with the arrays of the answers: the same
+lookups, at the price of moving the texts.
 
 A document is rejected if it fails the base rules or if its perplexity leaves its language's band: `spread`
 interquartile ranges beyond the quartiles of the log perplexities of that language's documents that
 pass the base rules. Quartiles come from exact counts of log perplexities in steps of 1/256 bit.
 
 Nulls and texts without words have no words, perplexity null and fail the base rules. A null language is a language
-of its own. Repeated rows count and get equal results. An empty table gives an empty result. Extra columns are
-carried; columns named like the results are replaced.
+of its own. Where the other half has no text of a language, its documents have no perplexity and the base rules alone decide. Repeated
+rows count and get equal results. An empty table gives an empty result. Extra columns are carried; columns named like the results are replaced.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, WORD_BYTE, checkpointed, column, mapped, mix64, record, reuse_memory, span_hashes, text_slices, word_spans
+from .arrow_text import (
+    ROW, U64, WORD_BYTE, as_long, broadcast_if_small, checkpointed, column, kept_columns, mapped, mix64, named, packed, record, reuse_memory, span_hashes, text_slices, unpacked, with_fields, word_spans,
+)
 
-ORDER = 4
-SYMBOLS = 32
-STRINGS = SYMBOLS**ORDER
+ORDER = 5
 FLUSH = 1 << 22
 STEP = 256
+BLOCK_BYTES = 32 << 20
+MOST_ENTRIES = 12_000_000
 #: Fixed values of the base rules.
 SYMBOL_CHARS = b"#*$%&|<>"
 LEAST_WORDS = 50
@@ -43,149 +45,208 @@ MOST_REPEATED_PERCENT = 50
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOL_CHARS)] = True
+#: A string of code points is two numbers of 21-bit places: the newest three in lo, older ones in hi.
+_PLACE = U64((1 << 21) - 1)
+_LO_BITS = 63
+
+
+def strings_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi and lo of the string of ORDER code points that ends at each character of a slice, and the text of each; before a text's start are zeros."""
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(U64)
+    bounds = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
+    sizes = np.diff(bounds)
+    place = np.arange(len(points)) - np.repeat(bounds[:-1], sizes)
+    hi, lo = np.zeros(len(points), U64), points.copy()
+    for back in range(1, ORDER):
+        older = np.zeros(len(points), U64)
+        older[back:] = points[: len(points) - back]
+        older[place < back] = 0
+        if back < 3:
+            lo |= older << U64(21 * back)
+        else:
+            hi |= older << U64(21 * (back - 3))
+    return hi, lo, np.repeat(np.arange(len(sizes)), sizes)
 
 
-@lru_cache(maxsize=1)
-def _symbols() -> np.ndarray:
-    """The symbol of each code point."""
-    out = (np.arange(0x110000) % 2 + 27).astype(np.uint8)
-    for i in range(0x3000):
-        c = chr(i)
-        base = unicodedata.normalize("NFD", c.lower())[0] if not 0xD800 <= i < 0xE000 else " "
-        if c.isspace() or unicodedata.category(c)[0] == "C":
-            out[i] = 0
-        elif "a" <= base <= "z":
-            out[i] = ord(base) - 96
-        elif c.isalpha():
-            out[i] = 27 + i % 2
-        elif c.isdigit():
-            out[i] = 29
-        else:
-            out[i] = 30 if c in ".,;:!?'\"()-" else 31
-    return out
+def newest(hi: np.ndarray, lo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last k code points of the strings."""
+    if k <= 3:
+        return np.zeros_like(hi), lo & U64((1 << (21 * k)) - 1)
+    return hi & U64((1 << (21 * (k - 3))) - 1), lo
+
+
+def context(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings without their last code point."""
+    return hi >> U64(21), (lo >> U64(21)) | ((hi & _PLACE) << U64(42))
 
 
-def string_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the four-symbol string that ends at each character of a slice, and the text of each; texts begin after gaps."""
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    ends = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
-    s = _symbols()[points].astype(np.int32)
-    out = s.copy()
-    first = ends[:-1][np.diff(ends) > 0]
-    for k in range(1, ORDER):
-        back = np.zeros(len(s), np.int32)
-        back[k:] = s[:-k]
-        for j in range(k):
-            at = first + j
-            back[at[at < len(s)]] = 0
-        out |= back << (5 * k)
-    return out, np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
+def entry_keys(hi: np.ndarray, lo: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    """Hashes under which entries are held: kind 2 * k for strings of k code points, 2 * k + 1 for contexts of k."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64(hi * U64(0x9E3779B97F4A7C15) + np.asarray(kind).astype(U64)) + lo)
+
+
+def half_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text, F.lit(47)), F.lit(2)).cast("int")
 
 
-def _lang_index(values: list, langs: dict) -> np.ndarray:
-    return np.fromiter((langs.get(v, len(langs)) for v in values), np.int64, len(values))
+def _groups(langs: list, halves: np.ndarray, known: dict) -> np.ndarray:
+    """A number for each row's (language, half), the same through a task."""
+    return np.fromiter((known.setdefault((a, b), len(known)) for a, b in zip(langs, halves.tolist(), strict=True)), np.int64, len(langs))
 
 
-def count_strings(docs: DataFrame, langs: dict) -> DataFrame:
-    """(model, code, n) over all documents; docs has lang and text."""
-    schema = pa.schema([("model", pa.int32()), ("code", pa.int32()), ("n", pa.int64())])
+def count_strings(docs: DataFrame) -> DataFrame:
+    """(lang, half, hi, lo, n) over all documents; docs has lang, half and text."""
+    schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_memory()
-        total = np.zeros((len(langs) + 1) * STRINGS, np.int64)
-        held: list[np.ndarray] = []
-
-        def add() -> None:
-            if held:
-                codes, n = np.unique(np.concatenate(held), return_counts=True) if len(langs) > 8 else (None, np.bincount(np.concatenate(held), minlength=len(total)))
-                if codes is None:
-                    np.add(total, n, out=total)
-                else:
-                    total[codes] += n
-                held.clear()
+        known: dict = {}
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            group, hi, lo = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            _, one, n = np.unique(entry_keys(hi, lo, group), return_index=True, return_counts=True)
+            names = list(known)
+            which = group[one].tolist()
+            yield record(schema, [names[g][0] for g in which], [names[g][1] for g in which], as_long(hi[one]), as_long(lo[one]), n)
 
         for batch in batches:
-            which = _lang_index(column(batch, "lang").to_pylist(), langs)
-            for lo, hi, data, offsets in text_slices(column(batch, "text")):
+            groups = _groups(column(batch, "lang").to_pylist(), np.asarray(column(batch, "half")), known)
+            for at, to, data, offsets in text_slices(column(batch, "text")):
                 if len(data):
-                    codes, row = string_codes(data, offsets)
-                    held.append((codes + which[lo:hi][row] * STRINGS).astype(np.int32))
-                    if sum(map(len, held)) >= FLUSH:
-                        add()
-        add()
-        seen = np.flatnonzero(total)
-        yield record(schema, (seen // STRINGS).astype(np.int32), (seen % STRINGS).astype(np.int32), total[seen])
-
-    return docs.select("lang", "text").transform(mapped(run, "model int, code int, n long")).groupBy("model", "code").agg(F.sum("n").alias("n"))
+                    hi, lo, row = strings_of(data, offsets)
+                    held.append((groups[at:to][row], hi, lo))
+                    if sum(len(x[0]) for x in held) >= FLUSH:
+                        yield from flush()
+        if held:
+            yield from flush()
 
+    counted = docs.select("lang", "half", "text").transform(mapped(run, "lang string, half int, hi long, lo long, n long"))
+    return counted.groupBy("lang", "half", "hi", "lo").agg(F.sum("n").alias("n"))
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of 0, 1, 2 and more, from the counts of counts."""
-    n = [max(1, int((counts == i).sum())) for i in range(5)]
-    y = n[1] / (n[1] + 2 * n[2])
-    return np.array([0.0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i - 0.05) for i in (1, 2, 3))])
 
+def _newest(k: int) -> tuple[Column, Column]:
+    if k <= 3:
+        return F.lit(0).cast("long"), F.col("lo").bitwiseAND(F.lit((1 << (21 * k)) - 1))
+    return F.col("hi").bitwiseAND(F.lit((1 << (21 * (k - 3))) - 1)), F.col("lo")
 
-@dataclass(frozen=True)
-class Model:
-    """Sorted hashed strings of all orders with log probability; sorted hashed contexts with log back-off weight."""
 
-    strings: np.ndarray
-    log_p: np.ndarray
-    contexts: np.ndarray
-    log_back: np.ndarray
+MODEL = ["lang", "half"]
 
 
-def _hashed(order: int, codes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(codes.astype(U64) * U64(8) + U64(order))
-
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """(lang, half, kind, hi, lo, value): the log probabilities of all strings and the log back-off weights of all contexts.
 
-def fit(codes: np.ndarray, n: np.ndarray) -> Model:
-    """Modified Kneser-Ney of the four-symbol counts."""
-    dense = np.zeros(STRINGS, np.float64)
-    dense[codes] = n
-    by_order = {ORDER: dense}
+    kind is 2 * k for a string of k code points and 2 * k + 1 for a context of k; kind 0 is the probability of an unseen code point, and the
+    back-off weight of the empty context has kind 1. A discount of a count class comes from the counts of counts 1 to 4 of its order.
+    """
+    orders = {ORDER: checkpointed(counted.select(*MODEL, "hi", "lo", F.col("n").cast("double").alias("c")))}
     for k in range(ORDER - 1, 0, -1):
-        by_order[k] = (by_order[k + 1].reshape(SYMBOLS, -1) > 0).sum(axis=0).astype(np.float64)
-    lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    strings, log_p, contexts, log_back = [], [], [], []
+        hi, lo = _newest(k)
+        orders[k] = checkpointed(orders[k + 1].groupBy(*MODEL, hi.alias("hi"), lo.alias("lo")).agg(F.count(F.lit(1)).cast("double").alias("c")))
+    unseen = orders[1].groupBy(*MODEL).agg((-F.log(F.count(F.lit(1)) + 1)).alias("value"))
+    out = [unseen.select(*MODEL, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), "value")]
+    lower = unseen.select(*MODEL, F.exp("value").alias("lower"))
     for k in range(1, ORDER + 1):
-        c = by_order[k].reshape(-1, SYMBOLS)
-        d = _discounts(c)
-        off = d[np.minimum(c, 3).astype(int)]
-        total = c.sum(axis=1, keepdims=True)
-        back = np.where(total > 0, off.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-        shorter = np.tile(lower.reshape(-1, SYMBOLS), (max(1, len(c) // max(1, len(lower) // SYMBOLS)), 1))[: len(c)]
-        p = (c - off) / np.maximum(total, 1) + back * shorter
-        seen = np.flatnonzero(c.ravel())
-        strings.append(_hashed(k, seen))
-        log_p.append(np.log(p.ravel()[seen]))
-        known = np.flatnonzero(total.ravel())
-        contexts.append(_hashed(k, known))
-        log_back.append(np.log(back.ravel()[known]))
-        lower = p.ravel()
-    a, b = np.concatenate(strings), np.concatenate(contexts)
-    i, j = np.argsort(a), np.argsort(b)
-    return Model(a[i], np.concatenate(log_p)[i].astype(np.float32), b[j], np.concatenate(log_back)[j].astype(np.float32))
-
-
-def expand(model: Model) -> np.ndarray:
-    """Log probability of every four-symbol string's last symbol, by back-off through the sorted arrays."""
-
-    def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-        hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-        return hit, np.where(hit, values[at] if len(keys) else 0, 0)
-
-    lower = np.full(1, -np.log(SYMBOLS), np.float32)
+        seen = [F.greatest(F.lit(1.0), F.sum((F.col("c") == i).cast("double"))).alias(f"n{i}") for i in range(1, 5)]
+        of = orders[k].groupBy(*MODEL).agg(*seen)
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        off = [F.least(F.greatest(F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.1)), F.lit(i - 0.05)).alias(f"d{i}") for i in (1, 2, 3)]
+        discounts = of.select(*[F.col(c).alias(f"_{c}") for c in MODEL], *off)
+        same_model = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("half") == F.col("_half"))
+        rows = orders[k].join(broadcast_if_small(discounts), same_model).drop("_lang", "_half")
+        rows = rows.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        rows = rows.withColumn("chi", F.shiftrightunsigned("hi", 21)).withColumn("clo", F.shiftrightunsigned("lo", 21).bitwiseOR(F.shiftleft(F.col("hi").bitwiseAND(F.lit((1 << 21) - 1)), 42)))
+        of_context = Window.partitionBy(*MODEL, "chi", "clo")
+        rows = rows.withColumn("total", F.sum("c").over(of_context)).withColumn("back", F.sum("d").over(of_context) / F.col("total"))
+        rows = rows.select(*MODEL, "hi", "lo", "chi", "clo", "c", "d", "total", "back")
+        if k == 1:
+            met = rows.join(broadcast_if_small(lower.toDF("_lang", "_half", "lower")), same_model)
+        else:
+            shi, slo = _newest(k - 1)
+            below = lower.select(F.col("lang").alias("_lang"), F.col("half").alias("_half"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "lower")
+            met = rows.withColumn("shi", shi).withColumn("slo", slo).join(below, same_model & (F.col("shi") == F.col("_hi")) & (F.col("slo") == F.col("_lo")))
+        done = checkpointed(met.select(*MODEL, "hi", "lo", "chi", "clo", "back", ((F.col("c") - F.col("d")) / F.col("total") + F.col("back") * F.col("lower")).alias("p")))
+        out.append(done.select(*MODEL, F.lit(2 * k).alias("kind"), "hi", "lo", F.log("p").alias("value")))
+        contexts = done.groupBy(*MODEL, "chi", "clo").agg(F.first("back").alias("back"))
+        out.append(contexts.select(*MODEL, F.lit(2 * k - 1).alias("kind"), F.col("chi").alias("hi"), F.col("clo").alias("lo"), F.log("back").alias("value")))
+        lower = done.select(*MODEL, "hi", "lo", F.col("p").alias("lower"))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def hashed(model: DataFrame) -> DataFrame:
+    """(lang, half, key, value): the entries under their hashes."""
+    schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("key", pa.int64()), ("value", pa.float32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo, kind = (column(batch, c).to_numpy() for c in ("hi", "lo", "kind"))
+            yield record(schema, column(batch, "lang"), column(batch, "half"), as_long(entry_keys(hi.view(U64), lo.view(U64), kind)), column(batch, "value").to_numpy().astype(np.float32))
+
+    return model.transform(mapped(run, "lang string, half int, key long, value float"))
+
+
+Arrays = tuple[np.ndarray, np.ndarray]
+
+
+def log_probabilities(hi: np.ndarray, lo: np.ndarray, arrays: Arrays) -> np.ndarray:
+    """The log probability of the last code point of each string by back-off through sorted arrays of keys and values."""
+    keys, values = arrays
+
+    def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        return hit, np.where(hit, values[at], np.float32(0)).astype(np.float64)
+
+    out, left = np.zeros(len(hi)), np.arange(len(hi))
+    for k in range(ORDER, -1, -1):
+        some = newest(hi[left], lo[left], k) if k else (np.zeros(len(left), U64), np.zeros(len(left), U64))
+        hit, value = find(entry_keys(*some, 2 * k))
+        out[left] += value
+        if k:
+            left = left[~hit]
+            if not len(left):
+                break
+            out[left] += find(entry_keys(*context(*newest(hi[left], lo[left], k)), 2 * k - 1))[1]
+    return out
+
+
+def wanted_keys(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """All keys that log_probabilities may look up for the strings."""
+    out = [entry_keys(np.zeros(1, U64), np.zeros(1, U64), 0)]
     for k in range(1, ORDER + 1):
-        size = SYMBOLS**k
-        codes = np.arange(size)
-        hit, value = lookup(model.strings, model.log_p, _hashed(k, codes))
-        _, back = lookup(model.contexts, model.log_back, _hashed(k, np.arange(size // SYMBOLS)))
-        lower = np.where(hit, value, np.repeat(back, SYMBOLS) + lower[codes % len(lower)]).astype(np.float32)
-    return lower
+        some = newest(hi, lo, k)
+        out += [entry_keys(*some, 2 * k), entry_keys(*context(*some), 2 * k - 1)]
+    return np.unique(np.concatenate(out))
+
+
+def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, one, back = np.unique(entry_keys(hi, lo, 0), return_index=True, return_inverse=True)
+    return hi[one], lo[one], back
+
+
+def entropies(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray, arrays_of: dict[int, Arrays]) -> np.ndarray:
+    """Bits a character of each text of a slice under its group's model; not a number where there is no model or no text."""
+    rows = len(offsets) - 1
+    out = np.full(rows, np.nan)
+    if not len(data):
+        return out
+    hi, lo, row = strings_of(data, offsets)
+    chars = np.bincount(row, minlength=rows)
+    for g in np.unique(groups):
+        mine = (groups == g) & (chars > 0)
+        if g not in arrays_of or not mine.any():
+            continue
+        at = np.flatnonzero(mine[row])
+        a, b, back = _distinct(hi[at], lo[at])
+        total = np.bincount(row[at], weights=log_probabilities(a, b, arrays_of[g])[back], minlength=rows)
+        out[mine] = -total[mine] / chars[mine] / np.log(2)
+    return out
 
 
 def _repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -237,57 +298,103 @@ def base_figures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     return np.diff(first), chars, per_row(_SYMBOL[data]), lines, _repeated_words(span_hashes(data, starts, ends), first)
 
 
-def quality(df: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None, most_langs: int = 12, spread: float = 3.0) -> DataFrame:
-    """df's columns (or those in `carry`) with the base figures, base_failed, log2_perplexity, band_low, band_high and kept."""
-    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    made = {*figures, "base_failed", "log2_perplexity", "band_low", "band_high", "kept"}
-    carry = [c for c in (df.columns if carry is None else carry) if c not in made]
-    docs = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.col("lang").asc_nulls_last()).limit(most_langs).collect()
-    langs = {r["lang"]: i for i, r in enumerate(sizes)}
-    counted = count_strings(docs, langs).toArrow()
-    which, codes, n = (counted.column(c).to_numpy() for c in ("model", "code", "n"))
-    shared = df.sparkSession.sparkContext.broadcast([fit(codes[which == i], n[which == i]) for i in range(len(langs) + 1)])
-    source = df.select(*carry, F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in carry]
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _scored_batch(batch: pa.RecordBatch, groups: np.ndarray, arrays_of: dict[int, Arrays]) -> Iterator[pa.RecordBatch]:
+    for lo, hi, data, offsets in text_slices(column(batch, "text")):
+        found = base_figures(data, offsets)
+        entropy = entropies(data, offsets, groups[lo:hi], arrays_of)
+        part = batch.slice(lo, hi - lo)
+        values = pa.array(entropy, mask=np.isnan(entropy) | (found[0] == 0))
+        yield pa.RecordBatch.from_arrays([column(part, ROW), column(part, "lang"), *map(pa.array, found), values], names=[ROW, "lang", *FIGURES, "log2_perplexity"])
+
+
+def _in_place(docs: DataFrame, model: DataFrame, made: str) -> DataFrame:
+    """docs scored by models that are broadcast as sorted arrays."""
+    table = model.toArrow()
+    langs, halves = table.column("lang").to_pylist(), table.column("half").to_numpy()
+    numbers: dict = {}
+    which = _groups(langs, halves, numbers)
+    keys, values = table.column("key").to_numpy().view(U64), table.column("value").to_numpy()
+    arrays = {}
+    for name, g in numbers.items():
+        mine = np.flatnonzero(which == g)
+        mine = mine[np.argsort(keys[mine])]
+        arrays[name] = (keys[mine], values[mine])
+    shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_memory()
-        tables: dict[int, np.ndarray] = {}
+        known = {name: i for i, name in enumerate(shared.value)}
+        arrays_of = dict(enumerate(shared.value.values()))
         for batch in batches:
-            model = _lang_index(column(batch, "_lang").to_pylist(), langs)
-            for lo, hi, data, offsets in text_slices(column(batch, "_text")):
-                found = base_figures(data, offsets)
-                entropy = np.full(hi - lo, np.nan)
-                if len(data):
-                    code, row = string_codes(data, offsets)
-                    chars = np.bincount(row, minlength=hi - lo)
-                    bounds = np.concatenate([[0], np.cumsum(chars)])
-                    for m in np.unique(model[lo:hi]):
-                        if m not in tables:
-                            tables[m] = expand(shared.value[m])
-                        mine = np.flatnonzero((model[lo:hi] == m) & (chars > 0))
-                        at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in mine]) if len(mine) else np.zeros(0, np.int64)
-                        first = np.cumsum(chars[mine]) - chars[mine]
-                        if len(mine):
-                            entropy[mine] = -np.add.reduceat(tables[m][code[at]].astype(np.float64), first) / chars[mine] / np.log(2)
-                part = batch.slice(lo, hi - lo)
-                values = pa.array(entropy, mask=np.isnan(entropy) | (found[0] == 0))
-                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in carry), *map(pa.array, found), values, pa.array(model[lo:hi].astype(np.int32))], names=[*carry, *figures, "log2_perplexity", "_model"])
-
-    scored = source.transform(mapped(run, ", ".join([*fields, *(f"{c} long" for c in figures), "log2_perplexity double", "_model int"])))
+            yield from _scored_batch(batch, _groups(column(batch, "lang").to_pylist(), 1 - np.asarray(column(batch, "half")), known), arrays_of)
+
+    return docs.transform(mapped(run, with_fields(docs, [ROW, "lang"], made)))
+
+
+def _in_blocks(docs: DataFrame, model: DataFrame, made: str) -> DataFrame:
+    """docs scored block by block, each with the entries it asks for."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("text", "lang"), F.lit(blocks)))
+    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("half", pa.int32()), ("key", pa.int64())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict = {}
+            groups = _groups(list(zip(column(batch, "block").to_pylist(), column(batch, "lang").to_pylist(), strict=True)), 1 - np.asarray(column(batch, "half")), known)
+            for lo, hi, data, offsets in text_slices(column(batch, "text")):
+                if not len(data):
+                    continue
+                a, b, row = strings_of(data, offsets)
+                group = groups[lo:hi][row]
+                for ((block, lang), half), g in known.items():
+                    mine = group == g
+                    if mine.any():
+                        keys = wanted_keys(*_distinct(a[mine], b[mine])[:2])
+                        yield record(schema, [block] * len(keys), [lang] * len(keys), [half] * len(keys), as_long(keys))
+
+    asked = dealt.select("block", "lang", "half", "text").repartition("block").sortWithinPartitions("block", "lang", "half").transform(mapped(ask, "block long, lang string, half int, key long")).distinct()
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("half") == F.col("_half")) & (F.col("key") == F.col("_key"))
+    answers = asked.join(model.toDF("_lang", "_half", "_key", "value"), same).select("block", "lang", "half", "key", "value")
+    out = with_fields(docs, [ROW, "lang"], made)
+
+    def score(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        known: dict = {}
+        which = _groups(entries.column("lang").to_pylist(), entries.column("half").to_numpy(), known)
+        keys, values = entries.column("key").to_numpy().view(U64), entries.column("value").to_numpy()
+        arrays_of = {}
+        for g in known.values():
+            mine = np.flatnonzero(which == g)
+            mine = mine[np.argsort(keys[mine])]
+            arrays_of[g] = (keys[mine], values[mine])
+        done = []
+        for batch in texts.to_batches():
+            done += _scored_batch(batch, _groups(column(batch, "lang").to_pylist(), 1 - np.asarray(column(batch, "half")), known), arrays_of)
+        return pa.Table.from_batches(done) if done else texts.select([ROW, "lang"])
+
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out)
+
+
+def quality(df: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None, spread: float = 3.0, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """df's columns (or those in `carry`) with the base figures, base_failed, log2_perplexity, band_low, band_high and kept."""
+    made = [*FIGURES, "base_failed", "log2_perplexity", "band_low", "band_high", "kept"]
+    carry = kept_columns(df, carry, made)
+    docs = df.select(packed(carry), named(lang).cast("string").alias("lang"), F.coalesce(named(text), F.lit("")).alias("text")).withColumn("half", half_of(F.col("text")))
+    model = checkpointed(hashed(kneser_ney(count_strings(docs))))
+    types = ", ".join([*(f"{c} long" for c in FIGURES), "log2_perplexity double"])
+    scored = (_in_place if model.count() <= most_entries else _in_blocks)(docs, model, types)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     scored = checkpointed(scored.withColumn("base_failed", failed))
-    steps = scored.where("not base_failed and log2_perplexity is not null").groupBy("_model", F.floor(F.col("log2_perplexity") * STEP).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
-    bands = []
-    for m in range(len(langs) + 1):
-        mine = sorted((r["at"], r["n"]) for r in steps if r["_model"] == m)
-        if mine:
-            reach = np.cumsum([x[1] for x in mine])
-            q1, q3 = (mine[int(np.searchsorted(reach, q * reach[-1]))][0] / STEP for q in (0.25, 0.75))
-            width = max(q3 - q1, 1 / STEP)
-            bands.append((m, q1 - spread * width, q3 + spread * width + 1 / STEP))
-    chain = lambda k: F.coalesce(*[F.when(F.col("_model") == b[0], F.lit(float(b[k]))) for b in bands], F.lit(None).cast("double"))
-    out = scored.withColumn("band_low", chain(1)).withColumn("band_high", chain(2))
-    inside = F.coalesce(F.col("log2_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
-    return out.select(*carry, *figures, "base_failed", "log2_perplexity", "band_low", "band_high", (~F.col("base_failed") & inside).alias("kept"))
+    steps = scored.where("not base_failed and log2_perplexity is not null").groupBy("lang", F.floor(F.col("log2_perplexity") * STEP).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    upto, whole = Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("lang")
+    steps = steps.withColumn("reach", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
+    quartile = lambda q: F.min(F.when(F.col("reach") >= q * F.col("all"), F.col("at"))) / STEP
+    bands = steps.groupBy("lang").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+    width = F.greatest(F.col("q3") - F.col("q1"), F.lit(1 / STEP))
+    bands = bands.select(F.col("lang").alias("_lang"), (F.col("q1") - spread * width).alias("band_low"), (F.col("q3") + spread * width + 1 / STEP).alias("band_high"))
+    out = scored.join(broadcast_if_small(checkpointed(bands)), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    inside = F.coalesce(F.col("log2_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(True))
+    return unpacked(out.withColumn("kept", ~F.col("base_failed") & inside), carry, *made)
