@@ -38,6 +38,7 @@ COORDINATES = 128
 BANDS = 32
 FIRST_CELL = -12  # ranks below 2^-12 are the first cell; each further cell doubles the rank
 BLOCK_ROWS = 2048
+SLICE_BYTES = 1 << 18  # of text signed at once; its darts are many times that where texts are short
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +134,7 @@ def _signed(docs: DataFrame, t: int, bands: int) -> DataFrame:
         reuse_memory()
         for batch in batches:
             nodes = np.asarray(column(batch, "node"))
-            for lo, hi, data, offsets in text_slices(column(batch, "text")):
+            for lo, hi, data, offsets in text_slices(column(batch, "text"), SLICE_BYTES):
                 hashes, first = word_hashes(data, offsets)
                 sig = dart_signatures(*shingles(hashes, first), hi - lo, t)
                 keep = np.flatnonzero(np.diff(first))
@@ -169,7 +170,7 @@ def _bags(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = np.asarray(column(batch, "node"))
-            for lo, hi, data, offsets in text_slices(column(batch, "text")):
+            for lo, hi, data, offsets in text_slices(column(batch, "text"), SLICE_BYTES):
                 e, rows = shingles(*word_hashes(data, offsets))
                 order = np.lexsort((e, rows))
                 bounds = np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32)
@@ -324,7 +325,7 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", c
     labels = connected_components(links)
     labelled = shared.join(labels, "node", "left").select("band", "no", "node", "n", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    open_bands = spread_join(labelled, split, "band", "node", "inner", shared).join(signed.select("node", "sig", "bands"), "node")
+    open_bands = labelled.join(split, "band").join(signed.select("node", "sig", "bands"), "node")
     more = checkpointed(_other_links(open_bands, bags, threshold, t))
     if not more.isEmpty():
         links = links.unionAll(more)
@@ -332,7 +333,7 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", c
     degree = links.selectExpr("a as node").unionAll(links.selectExpr("b as node")).groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
     classes = first.join(labels, "node", "left").select("node", "_first", F.coalesce("label", "node").alias("_label"))
     least_id = classes.groupBy("_label").agg(F.min("_first").alias("_class"))
-    classes = spread_join(classes, least_id, "_label", "node").join(degree, "node", "left").select("node", "_class", F.coalesce("_links", F.lit(0)).cast("long").alias("_links"))
+    classes = classes.join(least_id, "_label").join(degree, "node", "left").select("node", "_class", F.coalesce("_links", F.lit(0)).cast("long").alias("_links"))
     joined = spread_join(docs.select(ROW, "_id", "node"), classes, "node", "_id", "left", ids)
     class_id = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("_class")).alias("class_id")
     return unpacked(joined, carry, class_id, "node", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
