@@ -1,99 +1,81 @@
-"""Content identities: BLAKE3 in plain Python, canonical JSON and the logical and interchange projections of a dataset document."""
+"""Content identities: domains, canonical JSON and the columns that hash them.
+
+An identity is the BLAKE3 hash of a domain, a zero byte and canonical bytes. Domains begin with a namespace that the caller gives, so that one
+engine serves every family of identities.
+"""
 
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values of the public BLAKE3 specification.
-IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
-PERMUTATION = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)
-CHUNK_START, CHUNK_END, PARENT, ROOT = 1, 2, 4, 8
-MASK = 0xFFFFFFFF
-
-
-def _compress(chain: tuple, block: list[int], counter: int, length: int, flags: int) -> list[int]:
-    s = [*chain, *IV[:4], counter & MASK, counter >> 32, length, flags]
-
-    def quarter(a: int, b: int, c: int, d: int, x: int, y: int) -> None:
-        s[a] = (s[a] + s[b] + x) & MASK
-        t = s[d] ^ s[a]
-        s[d] = (t >> 16 | t << 16) & MASK
-        s[c] = (s[c] + s[d]) & MASK
-        t = s[b] ^ s[c]
-        s[b] = (t >> 12 | t << 20) & MASK
-        s[a] = (s[a] + s[b] + y) & MASK
-        t = s[d] ^ s[a]
-        s[d] = (t >> 8 | t << 24) & MASK
-        s[c] = (s[c] + s[d]) & MASK
-        t = s[b] ^ s[c]
-        s[b] = (t >> 7 | t << 25) & MASK
-
-    for turn in range(7):
-        for i in range(4):
-            quarter(i, 4 + i, 8 + i, 12 + i, block[2 * i], block[2 * i + 1])
-        for i in range(4):
-            quarter(i, 4 + (i + 1) % 4, 8 + (i + 2) % 4, 12 + (i + 3) % 4, block[8 + 2 * i], block[9 + 2 * i])
-        if turn < 6:
-            block = [block[p] for p in PERMUTATION]
-    return [(s[i] ^ s[i + 8]) & MASK for i in range(8)]
-
-
-def _words(data: bytes) -> list[int]:
-    return list(struct.unpack("<16I", data.ljust(64, b"\0")))
-
-
-def _chunk(data: bytes, number: int) -> tuple:
-    """Arguments of the chunk's last compression."""
-    chain: tuple = IV
-    blocks = [data[i : i + 64] for i in range(0, len(data), 64)] or [b""]
-    for i, block in enumerate(blocks[:-1]):
-        chain = tuple(_compress(chain, _words(block), number, 64, CHUNK_START if i == 0 else 0))
-    return chain, _words(blocks[-1]), number, len(blocks[-1]), CHUNK_END | (CHUNK_START if len(blocks) == 1 else 0)
-
-
-def _node(data: bytes, first: int) -> tuple:
-    if len(data) <= 1024:
-        return _chunk(data, first)
-    half = 1024
-    while half * 2 < len(data):
-        half *= 2
-    left, right = _compress(*_node(data[:half], first)), _compress(*_node(data[half:], first + half // 1024))
-    return IV, [*left, *right], 0, 64, PARENT
-
-
-def blake3(data: bytes) -> bytes:
-    chain, block, counter, length, flags = _node(data, 0)
-    return struct.pack("<8I", *_compress(chain, block, 0 if flags & PARENT else counter, length, flags | ROOT))
-
-
-def _hex_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in values:
-        yield s.map(lambda v: None if v is None else blake3(bytes(v)).hex())
-
-
-def blake3_hex(c: Column) -> Column:
-    """BLAKE3 of a binary column; the domain, if any, goes in front of the bytes."""
-    return F.pandas_udf(_hex_of, "string", F.PandasUDFType.SCALAR_ITER)(c)
-
-
-def logical_document(document: dict, interchange: bool = False) -> dict:
-    """The identity projection: without observed execution, storage order and sizes, and for interchange without source capsules."""
-    out = {k: v for k, v in document.items() if k != "observed_execution" and not (interchange and k == "source_capsules")}
-    atoms = []
-    for atom in out.get("atoms", []):
-        payload = atom.get("payload")
-        if payload is not None:
-            layout = payload.get("layout")
-            kept = {k: payload.get(k) for k in ("content_id", "element", "shape", "encoding", "media_type")}
-            atom = {**atom, "payload": {**kept, "composite": None if isinstance(layout, str) and layout.startswith("dense") else layout}}
-        atoms.append(atom)
-    return {**out, "atoms": atoms}
+from .blake3 import blake3, derived, hash_many
+
+
+class Names(NamedTuple):
+    """The namespace of the identity domains; its last label is the namespace of the core concepts."""
+
+    domain: str = "org.example.core"
+
+    @property
+    def concept(self) -> str:
+        return self.domain.rsplit(".", 1)[-1]
+
+    def of(self, what: str) -> bytes:
+        return f"{self.domain}.{what}".encode() + b"\0"
+
+    def payload(self, element: str) -> bytes:
+        return f"{self.concept}.semantic-v1.payload".encode() + b"\0" + element.encode() + b"\0"
+
+
+def content_id(domain: bytes, data: bytes) -> bytes:
+    return blake3(domain + data)
+
+
+def blake3_hex(c: Column, domain: bytes = b"") -> Column:
+    """BLAKE3 of a binary column with the domain in front, all rows of a batch at once; null stays null."""
+
+    def hex_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in values:
+            there = s.notna()
+            hashed = hash_many([domain + bytes(v) for v in s[there]])
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            out[there] = [h.hex() for h in hashed]
+            yield out
+
+    return F.pandas_udf(hex_of, "string", F.PandasUDFType.SCALAR_ITER)(c)
+
+
+def derived_hex(c: Column, context: str) -> Column:
+    """BLAKE3 of a binary column in key derivation mode."""
+
+    def hex_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in values:
+            there = s.notna()
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            out[there] = [h.hex() for h in derived(context, [bytes(v) for v in s[there]])]
+            yield out
+
+    return F.pandas_udf(hex_of, "string", F.PandasUDFType.SCALAR_ITER)(c)
+
+
+def payload_id(element: Column, data: Column, names: Names = Names()) -> Column:
+    """The identity of payload bytes of an element type."""
+
+    def ids(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for e, b in values:
+            there = e.notna() & b.notna()
+            hashed = hash_many([names.payload(x) + bytes(v) for x, v in zip(e[there], b[there], strict=True)])
+            out = pd.Series([None] * len(e), index=e.index, dtype=object)
+            out[there] = [h.hex() for h in hashed]
+            yield out
+
+    return F.pandas_udf(ids, "string", F.PandasUDFType.SCALAR_ITER)(element, data)
 
 
 def canonical_json(value: object) -> str:
