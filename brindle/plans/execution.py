@@ -14,11 +14,13 @@ DEFAULT_PLANS = (
     ("stream", 1, None, 2, "stream", 8 * MIB, True),
     ("ultra-compact", None, 64 * MIB, 0, "stream", 16 * MIB, False),
 )
+#: Profiles whose closure must be portable.
+PORTABLE = ("compact", "ultra-compact")
 SCHEMA = "profile string, group_rows long, group_bytes long, prefetch long, access string, cache_bytes long, external boolean"
 VALID = f"""(group_rows is null or group_rows between 1 and 65536)
     and (group_bytes is null or group_bytes between {4 * KIB} and {GIB})
     and (prefetch = 0 or prefetch between 1 and 4096) and cache_bytes between 0 and {16 * GIB}
-    and (access <> 'materialize' or cache_bytes > 0)"""
+    and (access <> 'materialize' or cache_bytes > 0) and not (external and profile in {PORTABLE})"""
 
 
 def default_plans(spark: SparkSession) -> DataFrame:
@@ -41,6 +43,8 @@ def compile_plan(profile: str, **overrides: object) -> dict:
         raise ValueError("row group out of range")
     if not (plan["prefetch"] == 0 or 1 <= plan["prefetch"] <= 4096) or not 0 <= plan["cache_bytes"] <= 16 * GIB:
         raise ValueError("prefetch or cache out of range")
+    if plan["external"] and profile in PORTABLE:
+        raise ValueError("a portable profile refers to nothing outside")
     if plan["access"] == "materialize" and not plan["cache_bytes"]:
         raise ValueError("materialize needs a cache")
     return plan
