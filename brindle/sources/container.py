@@ -1,6 +1,6 @@
 """Content-addressed containers: envelope, catalog, frames, frame index and hash-linked generation footers.
 
-Magics and hash domains come in a Format, so that one reader serves every family of such files. Parsing and writing are
+Magics and the namespace of the hash domains come in a Format, so that one reader serves every family of such files. Parsing and writing are
 pure functions of one file's bytes; Spark deals files to tasks. A file must fit in a row (2 GB at most, the limit of binaryFile).
 """
 
@@ -14,31 +14,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ident import blake3
+from ..functions.blake3 import blake3, hash_many
+from ..functions.ident import Names
+from ..model.document import ELEMENTS
+from . import profiles
 
 #: Sizes of the envelope, an index head, an index entry and a footer; frame kinds; storage contracts.
 ENVELOPE, INDEX_HEAD, INDEX_ENTRY, FOOTER = 128, 48, 128, 160
 EMBEDDED, RAW, SEMANTIC = 1, 2, 3
 SEALED, GENERATIONAL = 1, 2
 MAJOR, MINOR, SEMANTIC_GENERATION, BLAKE3_256 = 2, 0, 1, 1
+PLAINTEXT, OPAQUE, DISCOVERABLE = 1, 2, 3
 ENVELOPE_FIELDS = struct.Struct("<8sHHIIIQQBBBBIIIQQQQQ32s")
 FOOTER_FIELDS = struct.Struct("<8sHHIQQ32sQQQQ32s32s")
 
 
 class Format(NamedTuple):
+    """The magics of a family of files, the namespace of its identities, and the name of the family in their domains."""
+
     magic: bytes
     index_magic: bytes
     footer_magic: bytes
-    storage_domain: bytes
-    raw_content_domain: bytes
-    raw_storage_domain: bytes
-    generation_domain: bytes
+    names: Names = Names()
+    family: str = "container"
+
+    def domain(self, what: str) -> bytes:
+        return self.names.of(f"{self.family}.{what}")
+
+    def storage_id(self, data: bytes) -> bytes:
+        return blake3(self.domain("storage") + data)
+
+    def raw_ids(self, data: bytes) -> tuple[bytes, bytes]:
+        """Content and storage identity of raw bytes."""
+        return tuple(hash_many([self.domain("raw-content") + data, self.domain("raw-storage") + data]))
 
 
 class Bounds(NamedTuple):
-    catalog: int = 64 << 20
-    entries: int = 1 << 20
-    frame: int = 1 << 30
+    """The default resource bounds."""
+
+    catalog: int = 16 << 20
+    entries: int = 1_000_000
+    frame: int = 64 << 20
     generations: int = 4096
 
 
@@ -115,28 +131,86 @@ def _index(fmt: Format, catalog: bytes, frames: list[tuple[bytes, bytes, int, in
     return b"".join(out)
 
 
-def raw_frame(fmt: Format, data: bytes) -> tuple[bytes, bytes, int, int, bytes]:
-    return blake3(fmt.raw_content_domain + data), blake3(fmt.raw_storage_domain + data), RAW, 0, data
+Frame = tuple[bytes, bytes, int, int, bytes]
+
+
+def raw_frame(fmt: Format, data: bytes) -> Frame:
+    return (*fmt.raw_ids(data), RAW, 0, data)
 
 
-def encode(fmt: Format, document: bytes, root_id: bytes, references: Iterable[bytes] = (), payloads: Iterable[bytes] = (), profile: int = 1,
-           root_kind: int = 1, bounds: Bounds = Bounds()) -> bytes:
-    """A sealed file; payloads become raw frames, equal ones once, in the order of their content ids."""
+def semantic_frame(fmt: Format, element: str, data: bytes) -> Frame:
+    """Payload bytes under their semantic identity."""
+    return blake3(fmt.names.payload(element) + data), fmt.raw_ids(data)[1], SEMANTIC, ELEMENTS.index(element) + 1, data
+
+
+def embedded_frame(fmt: Format, data: bytes, bounds: Bounds = Bounds()) -> Frame:
+    """A whole sealed file as a frame of another."""
+    inner = parse(fmt, data, bounds)
+    if any(f["kind"] == EMBEDDED for f in inner["frames"]):
+        raise ContainerError("embedded files cannot embed others")
+    return inner["root_id"], inner["storage_id"], EMBEDDED, 0, data
+
+
+def encode(fmt: Format, document: bytes, root_id: bytes, references: Iterable[bytes] = (), payloads: Iterable[bytes] = (), profile: int = profiles.LOSSLESS,
+           root_kind: int = 1, bounds: Bounds = Bounds(), frames: Iterable[Frame] = ()) -> bytes:
+    """A sealed file of raw payloads and other frames, equal ones once, in the order of their content ids."""
+    if not profiles.accepts(profile, root_kind):
+        raise ContainerError("the profile does not accept the root")
     catalog = encode_catalog(document, root_id, references)
-    frames = sorted({f[0]: f for f in (raw_frame(fmt, p) for p in payloads)}.values())
-    if len(catalog) > bounds.catalog or len(frames) > bounds.entries or any(len(f[4]) > bounds.frame for f in frames):
+    held: dict[bytes, Frame] = {}
+    for f in (*(raw_frame(fmt, p) for p in payloads), *frames):
+        if held.setdefault(f[0], f)[2:] != f[2:]:
+            raise ContainerError("two frames of one identity")
+    ordered = sorted(held.values())
+    if len(catalog) > bounds.catalog or len(ordered) > bounds.entries or any(len(f[4]) > bounds.frame for f in ordered):
         raise ContainerError("content passes a bound")
-    body = b"".join(f[4] for f in frames)
-    index = _index(fmt, catalog, frames, ENVELOPE + len(catalog))
+    body = b"".join(f[4] for f in ordered)
+    index = _index(fmt, catalog, ordered, ENVELOPE + len(catalog))
     at = ENVELOPE + len(catalog) + len(body)
-    head = ENVELOPE_FIELDS.pack(fmt.magic, MAJOR, MINOR, ENVELOPE, profile, SEMANTIC_GENERATION, 0, 0, root_kind, SEALED, 0, BLAKE3_256,
+    head = ENVELOPE_FIELDS.pack(fmt.magic, MAJOR, MINOR, ENVELOPE, profile, SEMANTIC_GENERATION, 0, 0, root_kind, SEALED, PLAINTEXT, BLAKE3_256,
                                 bounds.catalog, bounds.entries, bounds.frame, ENVELOPE, len(catalog), at, len(index), 0, root_id)
     return head + catalog + body + index
 
 
+def pack(fmt: Format, root: bytes, objects: dict[bytes, bytes], bounds: Bounds = Bounds()) -> bytes:
+    """A portable file: the root with every file it reaches embedded. objects are sealed files by root id; only those that are reached may be given."""
+    outer = parse(fmt, root, bounds)
+    if outer["profile"] not in profiles.PROFILES or not profiles.PROFILES[outer["profile"]].portable:
+        raise ContainerError("the profile is not portable")
+    frames = {key: embedded_frame(fmt, data, bounds) for key, data in objects.items()}
+    _closed(outer["root_id"], outer["references"], {key: parse(fmt, data, bounds)["references"] for key, data in objects.items()})
+    own = [(f["content_id"], f["storage_id"], f["kind"], f["element"], f["data"]) for f in outer["frames"]]
+    return encode(fmt, outer["document"].encode(), outer["root_id"], outer["references"], (), outer["profile"], outer["root_kind"], bounds, [*own, *frames.values()])
+
+
+def _closed(root: bytes, references: list[bytes], held: dict[bytes, list[bytes]]) -> None:
+    """Whether what the root reaches is exactly what is held."""
+    reached, open_ = set(), list(references)
+    while open_:
+        key = open_.pop()
+        if key in reached or key == root:
+            continue
+        if key not in held:
+            raise ContainerError(f"incomplete closure: {key.hex()}")
+        reached.add(key)
+        open_ += held[key]
+    if extra := set(held) - reached:
+        raise ContainerError(f"extra frame: {min(extra).hex()}")
+
+
+def unpack(fmt: Format, data: bytes, bounds: Bounds = Bounds()) -> list[tuple[bytes, bytes]]:
+    """The files of a portable one as (root id, bytes), embedded ones first and the root without them last; nothing unless all of it verifies."""
+    outer = parse(fmt, data, bounds)
+    inner = [f for f in outer["frames"] if f["kind"] == EMBEDDED]
+    _closed(outer["root_id"], outer["references"], {f["content_id"]: parse(fmt, f["data"], bounds)["references"] for f in inner})
+    own = [(f["content_id"], f["storage_id"], f["kind"], f["element"], f["data"]) for f in outer["frames"] if f["kind"] != EMBEDDED]
+    root = encode(fmt, outer["document"].encode(), outer["root_id"], outer["references"], (), outer["profile"], outer["root_kind"], bounds, own)
+    return [*((f["content_id"], f["data"]) for f in inner), (outer["root_id"], root)]
+
+
 def _footer(fmt: Format, number: int, previous: tuple[int, bytes], catalog: tuple[int, bytes], index: tuple[int, bytes], root_id: bytes) -> bytes:
     first = FOOTER_FIELDS.pack(fmt.footer_magic, 2, 0, FOOTER, number, *previous, catalog[0], len(catalog[1]), index[0], len(index[1]), root_id, b"")[:128]
-    return first + blake3(fmt.generation_domain + first + catalog[1] + index[1])
+    return first + blake3(fmt.domain("generation-v1") + first + catalog[1] + index[1])
 
 
 def start_generations(fmt: Format, sealed: bytes) -> bytes:
@@ -176,7 +250,7 @@ def generations(fmt: Format, data: bytes, most: int = Bounds().generations) -> l
             raise ContainerError("footer head")
         if c_at + c_n > i_at or i_at + i_n > at:
             raise ContainerError("footer extents")
-        if digest != blake3(fmt.generation_domain + data[at : at + 128] + data[c_at : c_at + c_n] + data[i_at : i_at + i_n]):
+        if digest != blake3(fmt.domain("generation-v1") + data[at : at + 128] + data[c_at : c_at + c_n] + data[i_at : i_at + i_n]):
             raise ContainerError("footer digest")
         if wanted is not None and (number, digest) != wanted:
             raise ContainerError("broken chain")
@@ -194,17 +268,24 @@ def parse(fmt: Format, data: bytes, bounds: Bounds = Bounds()) -> dict:
     """One file's envelope, catalog and frames with every digest checked. A generational file is read at its latest generation."""
     if len(data) < ENVELOPE:
         raise ContainerError("shorter than an envelope")
-    (magic, major, _, size, profile, semantic, required, _, kind, contract, privacy, integrity, c_most, n_most, f_most,
+    (magic, major, minor, size, profile, semantic, required, _, kind, contract, privacy, integrity, c_most, n_most, f_most,
      c_at, c_n, i_at, i_n, latest, root) = ENVELOPE_FIELDS.unpack(data[:ENVELOPE])
-    if magic != fmt.magic or major != MAJOR or size != ENVELOPE or semantic != SEMANTIC_GENERATION or integrity != BLAKE3_256:
+    if magic != fmt.magic or (major, minor) != (MAJOR, MINOR) or size != ENVELOPE or semantic != SEMANTIC_GENERATION or integrity != BLAKE3_256:
         raise ContainerError("envelope head")
-    if required or privacy or not 1 <= kind <= 6 or contract not in (SEALED, GENERATIONAL):
+    if required or privacy != PLAINTEXT or contract not in (SEALED, GENERATIONAL):
         raise ContainerError("unsupported envelope")
+    if not profiles.accepts(profile, kind):
+        raise ContainerError("unknown profile, or one that does not accept the root")
+    if not (0 < c_most <= bounds.catalog and 0 < n_most <= bounds.entries and 0 < f_most <= bounds.frame):
+        raise ContainerError("declared bounds")
     if (contract == GENERATIONAL) != (latest != 0):
         raise ContainerError("contract and footer disagree")
     end, number = len(data), 0
     if latest:
-        newest = generations(fmt, data, bounds.generations)[0]
+        chain = generations(fmt, data, bounds.generations)
+        newest = chain[0]
+        if chain[-1]["catalog"] != (c_at, c_n) or chain[-1]["index"] != (i_at, i_n):
+            raise ContainerError("envelope and oldest generation disagree")
         (c_at, c_n), (i_at, i_n), end, number = newest["catalog"], newest["index"], newest["offset"], newest["generation"]
         if newest["root_id"] != root:
             raise ContainerError("torn publication pointer")
@@ -234,13 +315,15 @@ def parse(fmt: Format, data: bytes, bounds: Bounds = Bounds()) -> dict:
             raise ContainerError("frame kind")
         if frame_kind == RAW and raw_frame(fmt, body)[:2] != (entry[:32], entry[32:64]):
             raise ContainerError("frame identity")
-        if frame_kind == EMBEDDED and parse(fmt, body, bounds)["root_id"] != entry[:32]:
+        if frame_kind == SEMANTIC and semantic_frame(fmt, ELEMENTS[element - 1], body)[:2] != (entry[:32], entry[32:64]):
+            raise ContainerError("frame identity")
+        if frame_kind == EMBEDDED and embedded_frame(fmt, body, bounds)[:2] != (entry[:32], entry[32:64]):
             raise ContainerError("embedded root")
         frames.append({"content_id": entry[:32], "storage_id": entry[32:64], "kind": frame_kind, "element": element, "offset": offset, "length": length, "data": body})
         before, at = entry[:32], offset + length
     if at != i_at:
         raise ContainerError("bytes between frames and index")
-    return {"storage_id": blake3(fmt.storage_domain + data), "profile": profile, "root_kind": kind, "generation": number, "root_id": root,
+    return {"storage_id": fmt.storage_id(data), "contract": contract, "profile": profile, "root_kind": kind, "generation": number, "root_id": root,
             "document": document.decode(), "references": references, "frames": frames}
 
 
@@ -256,6 +339,7 @@ def read_containers(spark: SparkSession, path: str, fmt: Format, payloads: bool
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     found = parse(fmt, bytes(content), bounds) | {"error": None}
+                    del found["contract"]
                     if not payloads:
                         found["frames"] = [f | {"data": None} for f in found["frames"]]
                 except (ContainerError, UnicodeDecodeError, struct.error) as error:
@@ -270,7 +354,7 @@ def frame_rows(containers: DataFrame) -> DataFrame:
     return containers.where("error is null").select("path", "root_id", F.posexplode("frames").alias("ordinal", "f")).select("path", "root_id", "ordinal", "f.*")
 
 
-def encode_containers(datasets: DataFrame, fmt: Format, profile: int = 1) -> DataFrame:
+def encode_containers(datasets: DataFrame, fmt: Format, profile: int = profiles.LOSSLESS) -> DataFrame:
     """root_id and artifact of each row of datasets (root_id binary, document string, references and payloads array<binary>, null as empty)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
