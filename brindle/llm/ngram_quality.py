@@ -33,11 +33,11 @@ from .arrow_text import (
     ROW, U64, WORD_BYTE, as_long, broadcast_if_small, checkpointed, column, kept_columns, mapped, mix64, named, packed, record, reuse_memory, span_hashes, text_slices, unpacked, with_fields, word_spans,
 )
 
-ORDER = 5
-FLUSH = 1 << 22
+ORDER = 4
+FLUSH = 1 << 21  # distinct strings that a task holds before it gives them on
 STEP = 256
 BLOCK_BYTES = 32 << 20
-MOST_ENTRIES = 12_000_000
+MOST_ENTRIES = 6_000_000
 #: Fixed values of the base rules.
 SYMBOL_CHARS = b"#*$%&|<>"
 LEAST_WORDS = 50
@@ -86,6 +86,28 @@ def entry_keys(hi: np.ndarray, lo: np.ndarray, kind: np.ndarray | int) -> np.nda
         return mix64(mix64(hi * U64(0x9E3779B97F4A7C15) + np.asarray(kind).astype(U64)) + lo)
 
 
+_slots = np.zeros(1 << 20, np.int32)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct key, and for each key which of them it is.
+
+    Keys are written to a table by their hash, and those that find themselves there are done; the few that share a place with another go round again.
+    """
+    chosen, left, again = np.empty(len(keys), np.int64), np.arange(len(keys)), keys
+    while len(left):
+        slot = (again >> U64(44)).astype(np.int32)
+        _slots[slot] = left
+        there = _slots[slot]
+        found = keys[there] == keys[left]
+        chosen[left[found]] = there[found]
+        left = left[~found]
+        again = mix64(again[~found] ^ U64(0x9E3779B97F4A7C15))
+    first = np.zeros(len(keys), bool)
+    first[chosen] = True
+    return np.flatnonzero(first), (np.cumsum(first) - 1)[chosen]
+
+
 def half_of(text: Column) -> Column:
     return F.pmod(F.xxhash64(text, F.lit(47)), F.lit(2)).cast("int")
 
@@ -105,19 +127,21 @@ def count_strings(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            group, hi, lo = (np.concatenate(x) for x in zip(*held, strict=True))
+            group, hi, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            _, one, n = np.unique(entry_keys(hi, lo, group), return_index=True, return_counts=True)
-            names = list(known)
-            which = group[one].tolist()
-            yield record(schema, [names[g][0] for g in which], [names[g][1] for g in which], as_long(hi[one]), as_long(lo[one]), n)
+            one, which = distinct(entry_keys(hi, lo, group))
+            names, of = list(known), group[one]
+            langs = pa.array([x[0] for x in names], pa.string()).take(pa.array(of))
+            yield record(schema, langs, np.array([x[1] for x in names])[of], as_long(hi[one]), as_long(lo[one]), np.bincount(which, weights=n).astype(np.int64))
 
         for batch in batches:
             groups = _groups(column(batch, "lang").to_pylist(), np.asarray(column(batch, "half")), known)
             for at, to, data, offsets in text_slices(column(batch, "text")):
                 if len(data):
                     hi, lo, row = strings_of(data, offsets)
-                    held.append((groups[at:to][row], hi, lo))
+                    group = groups[at:to][row]
+                    one, which = distinct(entry_keys(hi, lo, group))
+                    held.append((group[one], hi[one], lo[one], np.bincount(which)))
                     if sum(len(x[0]) for x in held) >= FLUSH:
                         yield from flush()
         if held:
@@ -225,11 +249,6 @@ def wanted_keys(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, one, back = np.unique(entry_keys(hi, lo, 0), return_index=True, return_inverse=True)
-    return hi[one], lo[one], back
-
-
 def entropies(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray, arrays_of: dict[int, Arrays]) -> np.ndarray:
     """Bits a character of each text of a slice under its group's model; not a number where there is no model or no text."""
     rows = len(offsets) - 1
@@ -238,14 +257,16 @@ def entropies(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray, arrays_
         return out
     hi, lo, row = strings_of(data, offsets)
     chars = np.bincount(row, minlength=rows)
+    of = groups[row]
+    one, which = distinct(entry_keys(hi, lo, of))
+    value = np.full(len(one), np.nan)
     for g in np.unique(groups):
-        mine = (groups == g) & (chars > 0)
-        if g not in arrays_of or not mine.any():
-            continue
-        at = np.flatnonzero(mine[row])
-        a, b, back = _distinct(hi[at], lo[at])
-        total = np.bincount(row[at], weights=log_probabilities(a, b, arrays_of[g])[back], minlength=rows)
-        out[mine] = -total[mine] / chars[mine] / np.log(2)
+        if g in arrays_of:
+            mine = np.flatnonzero(of[one] == g)
+            value[mine] = log_probabilities(hi[one[mine]], lo[one[mine]], arrays_of[g])
+    total = np.bincount(row, weights=value[which], minlength=rows)
+    there = chars > 0
+    out[there] = -total[there] / chars[there] / np.log(2)
     return out
 
 
@@ -350,10 +371,11 @@ def _in_blocks(docs: DataFrame, model: DataFrame, made: str) -> DataFrame:
                     continue
                 a, b, row = strings_of(data, offsets)
                 group = groups[lo:hi][row]
+                one, _ = distinct(entry_keys(a, b, group))
                 for ((block, lang), half), g in known.items():
-                    mine = group == g
-                    if mine.any():
-                        keys = wanted_keys(*_distinct(a[mine], b[mine])[:2])
+                    mine = one[group[one] == g]
+                    if len(mine):
+                        keys = wanted_keys(a[mine], b[mine])
                         yield record(schema, [block] * len(keys), [lang] * len(keys), [half] * len(keys), as_long(keys))
 
     asked = dealt.select("block", "lang", "half", "text").repartition("block").sortWithinPartitions("block", "lang", "half").transform(mapped(ask, "block long, lang string, half int, key long")).distinct()

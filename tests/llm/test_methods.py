@@ -262,10 +262,10 @@ def test_kneser_ney(spark):
         counts = collections.Counter()
         for t in texts:
             if halves[t] != half:
-                counts.update(("\0" * 4 + t)[i : i + 5] for i in range(len(t)))
-        models[half] = reference_model(counts, 5)
+                counts.update(("\0" * 3 + t)[i : i + 4] for i in range(len(t)))
+        models[half] = reference_model(counts, 4)
     for t in texts:
-        want = -sum(math.log2(models[halves[t]](("\0" * 4 + t)[i : i + 5])) for i in range(len(t))) / len(t)
+        want = -sum(math.log2(models[halves[t]](("\0" * 3 + t)[i : i + 4])) for i in range(len(t))) / len(t)
         assert got[t] is None if not WORD.findall(t) else abs(got[t] - want) < 1e-4
 
 
@@ -387,3 +387,11 @@ def test_pipeline_stages(spark, tmp_path):
     coded = by_name["piece_sampling"](spark, docs, "")
     back = {r.doc_id: r.text for r in piece_sampling.decode_pieces(coded, piece_model()).collect()}
     assert back == {r[0]: r[1] for r in rows}
+
+
+def test_distinct_keys():
+    rng = np.random.RandomState(3)
+    for keys in (rng.randint(0, 50, 1000), rng.randint(0, 1 << 62, 5000), np.zeros(3, int), np.zeros(0, int), np.arange(1 << 12) << 5):
+        keys = arrow_text.mix64(keys.astype(np.uint64)) if len(keys) != 1 << 12 else keys.astype(np.uint64)
+        one, which = ngram_quality.distinct(keys)
+        assert len(one) == len(np.unique(keys)) and (keys[one][which] == keys).all()
