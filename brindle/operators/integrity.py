@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,10 @@ def dangling(child: DataFrame, key: str, parent: DataFrame, parent_key: str, rel
     return child.where(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("_parent"), "left_anti").select("*" if related is None else related)
 
 
-def repeated(df: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
-    """All rows of an identity but its first in the order."""
-    w = Window.partitionBy(*identity).orderBy(*order)
-    return df.withColumn("occurrence", F.row_number().over(w)).where("occurrence > 1")
+def repeated(df: DataFrame, identity: str, order: str) -> DataFrame:
+    """All rows of an identity but its first by the order; a hot identity is joined to one row, not sorted."""
+    first = df.groupBy(identity).agg(F.min(order).alias("_first")).select(F.col(identity).alias("_identity"), "_first")
+    return df.join(first, F.col(identity) == F.col("_identity")).where(F.col(order) > F.col("_first")).drop("_identity", "_first")
 
 
 def over_limit(df: DataFrame, group: list[str], most: int) -> DataFrame:

@@ -27,22 +27,6 @@ def generation_chain(events: DataFrame, key: str, sequence: str) -> DataFrame:
     return events.withColumn("generation", F.row_number().over(w) - 1).withColumn("prior", F.lag(sequence).over(w))
 
 
-def greedy_pack(df: DataFrame, key: str, order: str, size: str, target: int) -> DataFrame:
-    """Rows of each key dealt in order into groups: a new group starts when a row would pass the target and the group is not empty.
-
-    The fold runs inside one row a key (JVM side); a key's rows must fit in memory, as the reference's plan for one snapshot does.
-    """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    folded = F.expr(
-        f"""aggregate(rows, struct(cast(0 as bigint) as g, cast(0 as bigint) as used, cast(array() as array<bigint>) as out),
-        (acc, x) -> if(acc.used > 0 and acc.used + x.s > {int(target)},
-            struct(acc.g + 1 as g, x.s as used, concat(acc.out, array(acc.g + 1)) as out),
-            struct(acc.g as g, acc.used + x.s as used, concat(acc.out, array(acc.g)) as out)), acc -> acc.out)"""
-    )
-    packed = rows.withColumn("groups", folded)
-    return packed.select(key, F.explode(F.arrays_zip("rows", "groups")).alias("z")).select(key, F.col("z.rows.o").alias(order), F.col("z.rows.s").alias(size), F.col("z.groups").alias("pack"))
-
-
 def fixed_groups(df: DataFrame, key: str, order: str, rows: int) -> DataFrame:
     return df.withColumn("pack", F.expr(f"(row_number() over (partition by {key} order by {order}) - 1) div {rows}"))
 

@@ -13,11 +13,20 @@ def missing_extra(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame
     return both.where("_e is null or _a is null").select(key, F.when(F.col("_a").isNull(), "missing").otherwise("extra").alias("state"))
 
 
-def zip_by_sequence(left: DataFrame, right: DataFrame, key: list[str], order_left: str, order_right: str) -> DataFrame:
-    """Rows of two inputs paired by position within a key."""
-    a = left.withColumn("seq", F.row_number().over(Window.partitionBy(*key).orderBy(order_left)) - 1)
-    b = right.withColumn("seq", F.row_number().over(Window.partitionBy(*key).orderBy(order_right)) - 1)
-    return a.join(b, [*key, "seq"])
+def zip_by_sequence(key: list[str], inputs: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """Rows of several inputs (table, order, value) paired by position within a key: key, seq, the values, and whole.
+
+    whole is false for every row of a key whose inputs differ in length; such a key must fail as a whole, so none of its rows is dropped.
+    """
+    met = None
+    for df, order, value in inputs:
+        rows = df.select(*key, F.col(value).alias(value), (F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1).alias("seq"), F.lit(True).alias(f"_has_{value}"))
+        met = rows if met is None else met.join(rows, [*key, "seq"], "full_outer")
+    there = F.lit(True)
+    for _, _, value in inputs:
+        there = there & F.coalesce(F.col(f"_has_{value}"), F.lit(False))
+    whole = F.bool_and(there).over(Window.partitionBy(*key))
+    return met.withColumn("whole", whole).select(*key, "seq", *[v for _, _, v in inputs], "whole")
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:

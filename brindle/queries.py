@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
-from .operators import graph, integrity, ordered, setops
+from .operators import graph, integrity, ordered, ordered_stream, setops
 from .plans import execution
 from .sources import store
 from .streaming import subscription
+from .training import tables as training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,9 +62,9 @@ def v3_family_limits(spark, d):
     return integrity.report([one(t.customer, "customers"), one(t.orders, "orders"), one(t.part, "parts"), one(t.supplier, "suppliers")])
 
 
-@query("SELECT doc_id, h, occurrence FROM (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS occurrence FROM documents) WHERE occurrence > 1")
+@query("SELECT doc_id, h FROM (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS occurrence FROM documents) WHERE occurrence > 1")
 def v4_duplicate_id(spark, d):
-    return integrity.repeated(Tables(spark, d).documents.select("doc_id", F.sha2("text", 256).alias("h")), ["h"], ["doc_id"])
+    return integrity.repeated(Tables(spark, d).documents.select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id")
 
 
 @query("SELECT 'V5' AS rule, 'E002' AS code, 'orders.o_custkey' AS path, CAST(o_orderkey AS VARCHAR) AS related FROM orders WHERE o_custkey % 7 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
@@ -108,8 +109,8 @@ def v12_atom_structure(spark, d):
 @query("SELECT o_orderkey, part FROM (SELECT l_orderkey AS o_orderkey, unnest(list_distinct(list(l_partkey))) AS part FROM lineitem GROUP BY l_orderkey) WHERE part % 13 = 0")
 def v14_companion_missing(spark, d):
     t = Tables(spark, d)
-    sets = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("parts"))
-    return integrity.dangling(sets.select("o_orderkey", F.explode("parts").alias("part")), "part", t.part.where("p_partkey % 13 <> 0"), "p_partkey")
+    named = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("part")).distinct()
+    return integrity.dangling(named, "part", t.part.where("p_partkey % 13 <> 0"), "p_partkey")
 
 
 @query("SELECT l_partkey, bool_and(l_quantity < 50) AS agrees, count(*) AS descriptors FROM lineitem GROUP BY l_partkey")
@@ -132,12 +133,12 @@ def v22_interval_order(spark, d):
 @query("SELECT o_orderkey, list_contains(list(l_linenumber), 5) AS listed FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def v23_output_contains(spark, d):
     t = Tables(spark, d)
-    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.array_contains(F.collect_set("l_linenumber"), 5).alias("listed"))
+    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.bool_or(F.col("l_linenumber") == 5).alias("listed"))
 
 
-@query("SELECT l_suppkey, len(list_distinct(list(l_returnflag))) = 3 AS covers FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY l_suppkey")
+@query("SELECT l_suppkey, len(list_distinct(list(l_returnflag))) = 3 AS covers FROM lineitem GROUP BY l_suppkey")
 def v26_restriction_superset(spark, d):
-    lines = Tables(spark, d).lineitem.where("l_partkey % 50 = 0")
+    lines = Tables(spark, d).lineitem
     sets = lines.groupBy("l_suppkey").agg(F.collect_set("l_returnflag").alias("child")).withColumn("parent", F.array(F.lit("A"), F.lit("N"), F.lit("R")))
     return sets.select("l_suppkey", integrity.covers("child", "parent").alias("covers"))
 
@@ -160,10 +161,10 @@ def v30_fidelity_shape(spark, d):
 
 
 @query("""WITH RECURSIVE e(src, dst) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
-w(node) AS (SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 1000 = 1 UNION SELECT dst FROM w JOIN e ON src = node) SELECT node FROM w""")
+w(node) AS (SELECT 'o' || o_orderkey FROM orders UNION SELECT dst FROM w JOIN e ON src = node) SELECT node FROM w""")
 def r1_closure(spark, d):
     t = Tables(spark, d)
-    return graph.reachable(t.orders.where("o_orderkey % 1000 = 1").select(F.concat(F.lit("o"), "o_orderkey").alias("node")), _edges(t)).select("node")
+    return graph.reachable(t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("node")), _edges(t)).select("node")
 
 
 def _edges(t: Tables) -> DataFrame:
@@ -178,12 +179,12 @@ def r3_gc_sweep(spark, d):
     return graph.unreachable(t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("node")), pins, _edges(t))
 
 
-@query("""WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_custkey * 3) % 50 + 1 END AS parent FROM customer WHERE c_custkey <= 50),
-w AS (SELECT node AS start, parent AS up, [node] AS seen FROM p UNION ALL SELECT start, p.parent, list_append(seen, p.node) FROM w JOIN p ON p.node = w.up WHERE NOT list_contains(seen, w.up) AND len(seen) <= 8)
-SELECT start AS node, CASE WHEN up IS NULL THEN 'root' WHEN list_contains(seen, up) THEN 'cycle' ELSE 'depth' END AS state, len(seen) AS steps FROM w WHERE up IS NULL OR list_contains(seen, up) OR len(seen) > 8""")
+@query("""WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_custkey * 3) % 50 + 1 END AS parent FROM customer),
+w AS (SELECT node AS start, parent AS up, [node] AS seen FROM p UNION ALL SELECT start, p.parent, list_append(seen, p.node) FROM w JOIN p ON p.node = w.up WHERE NOT list_contains(seen, w.up) AND len(seen) <= 6)
+SELECT start AS node, CASE WHEN len(seen) > 6 THEN 'depth' WHEN up IS NULL THEN 'root' ELSE 'cycle' END AS state, len(seen) AS steps FROM w WHERE len(seen) > 6 OR up IS NULL OR list_contains(seen, up)""")
 def r4_ancestry_cycle(spark, d):
     parent = F.when(F.col("c_custkey") % 10 != 0, (F.col("c_custkey") * 3) % 50 + 1)
-    return graph.ancestry(Tables(spark, d).customer.where("c_custkey <= 50").select(F.col("c_custkey").alias("node"), parent.alias("parent")), 8).withColumn("steps", F.col("steps").cast("long"))
+    return graph.ancestry(Tables(spark, d).customer.select(F.col("c_custkey").alias("node"), parent.alias("parent")), 6).select("node", "state", F.col("steps").cast("long").alias("steps"))
 
 
 @query("SELECT l_partkey, count(DISTINCT refs) AS variants FROM (SELECT l_partkey, l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS refs FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING count(DISTINCT refs) > 1")
@@ -198,10 +199,12 @@ def j3_missing_extra(spark, d):
     return setops.missing_extra(t.documents.where("doc_id % 2 = 0"), t.labels, "doc_id")
 
 
-@query("SELECT a.k, a.seq, a.o, b.s FROM (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq FROM orders) a JOIN (SELECT user_id AS k, event_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events) b USING (k, seq)")
+@query("""SELECT k, seq, o, s, bool_and(o IS NOT NULL AND s IS NOT NULL) OVER (PARTITION BY k) AS whole FROM (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq FROM orders) a
+FULL JOIN (SELECT user_id AS k, event_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events) b USING (k, seq)""")
 def j4_zip_sequence(spark, d):
     t = Tables(spark, d)
-    return setops.zip_by_sequence(t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o")), t.events.select(F.col("user_id").alias("k"), F.col("event_id").alias("s")), ["k"], "o", "s").withColumn("seq", F.col("seq").cast("long"))
+    orders, events = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o")), t.events.select(F.col("user_id").alias("k"), F.col("event_id").alias("s"))
+    return setops.zip_by_sequence(["k"], [(orders, "o", "o"), (events, "s", "s")]).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("SELECT 'left' AS side, count(*) AS n FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1 EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2) UNION ALL SELECT 'right', count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2 EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1)")
@@ -261,7 +264,7 @@ def w3_strict_order(spark, d):
 f AS (SELECT o_custkey, o_orderkey, bytes, rn, CAST(0 AS BIGINT) AS pack, bytes AS used FROM r WHERE rn = 1 UNION ALL SELECT r.o_custkey, r.o_orderkey, r.bytes, r.rn, CASE WHEN f.used > 0 AND f.used + r.bytes > 50000000 THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.used > 0 AND f.used + r.bytes > 50000000 THEN r.bytes ELSE f.used + r.bytes END FROM f JOIN r ON r.o_custkey = f.o_custkey AND r.rn = f.rn + 1)
 SELECT o_custkey, o_orderkey, bytes, pack FROM f""")
 def w5_greedy_pack(spark, d):
-    return ordered.greedy_pack(Tables(spark, d).orders.withColumn("bytes", cents("o_totalprice")), "o_custkey", "o_orderkey", "bytes", 50_000_000)
+    return ordered_stream.greedy_pack(Tables(spark, d).orders.withColumn("bytes", cents("o_totalprice")), "o_custkey", "o_orderkey", "bytes", 50_000_000)
 
 
 @query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS pack FROM conversations")
@@ -294,8 +297,7 @@ def w11_extents(spark, d):
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_size, p_partkey) AS ordinal FROM part")
 def o1_canonical_sort(spark, d):
-    sets = Tables(spark, d).part.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_type", "p_size", "p_partkey"))).alias("rows"))
-    return sets.select(F.posexplode("rows").alias("pos", "r")).select("r.p_partkey", (F.col("pos") + 1).cast("long").alias("ordinal"))
+    return ordered_stream.ranked(Tables(spark, d).part, "p_brand", ["p_type", "p_size", "p_partkey"]).select("p_partkey", "ordinal")
 
 
 @query("(SELECT 'both' AS part, c_nationkey AS k FROM customer INTERSECT SELECT 'both', s_nationkey FROM supplier) UNION ALL (SELECT 'left' AS part, c_custkey FROM customer EXCEPT SELECT 'left', o_custkey FROM orders)")
@@ -310,53 +312,77 @@ def o8_limit_guard(spark, d):
     return integrity.over_limit(Tables(spark, d).lineitem, ["l_suppkey"], 600)
 
 
-@query("SELECT page_id, regexp_matches(url, '^[a-z][a-z0-9.-]*:[A-Za-z0-9._/-]+$') AS concept, regexp_matches(url, '^[^\\x00-\\x20\\x7f/]+/[^\\x00-\\x20\\x7f]+$') AS media, regexp_matches(sha256(url), '^[0-9a-f]{64}$') AS content_key FROM pages")
+_MARKED = "url || CASE page_id % 6 WHEN 0 THEN chr(10) WHEN 1 THEN chr(133) WHEN 2 THEN ' ' ELSE '' END"
+
+
+def _marked(pages: DataFrame) -> DataFrame:
+    """Pages with a text that ends in a line break, a control character beyond ASCII, a space or nothing."""
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("\n", "\x85", " ", "", "", "")]), (F.col("page_id") % 6 + 1).cast("int"))
+    return pages.withColumn("t", F.concat("url", mark)).withColumn("mark", mark)
+
+
+@query(f"""SELECT page_id, regexp_full_match(t, '[a-z][a-z0-9.-]*:[A-Za-z0-9._/-]+') AS concept, regexp_full_match(sha256(url) || substr(t, length(url) + 1), '[0-9a-f]{{64}}') AS content_key,
+regexp_full_match('lr.' || page_id || substr(t, length(url) + 1), '[a-z][a-z0-9._-]{{0,127}}') AS knob, regexp_full_match('seg.' || page_id || substr(t, length(url) + 1), '[a-z0-9][a-z0-9._-]*[a-z0-9_-]') AS label FROM (SELECT page_id, url, {_MARKED} AS t FROM pages)""")
 def p1_grammar(spark, d):
-    url = F.col("url")
-    return Tables(spark, d).pages.select("page_id", P.is_concept(url).alias("concept"), url.rlike(P.ATOM_MEDIA).alias("media"), P.is_content_key(F.sha2(url, 256)).alias("content_key"))
+    pages = _marked(Tables(spark, d).pages)
+    made = lambda prefix: F.concat(F.lit(prefix), F.col("page_id").cast("string"), "mark")
+    return pages.select("page_id", P.is_concept("t").alias("concept"), P.is_content_key(F.concat(F.sha2("url", 256), "mark")).alias("content_key"), P.is_knob(made("lr.")).alias("knob"), P.is_label_concept(made("seg.")).alias("label"))
 
 
-@query("SELECT vec_id, CAST(len(embedding) * 4 AS BIGINT) AS bytes FROM embeddings")
-def p4_shape_product(spark, d):
-    return Tables(spark, d).embeddings.select("vec_id", P.dense_bytes(F.array(F.size("embedding").cast("long")), F.lit("f32")).cast("long").alias("bytes"))
+@query(f"""SELECT page_id, NOT regexp_matches(t, '[\\x00-\\x1f\\x7f]') AND NOT contains(t, chr(133)) AS source_key, octet_length(encode(t)) <= 256 AND NOT regexp_matches(t, '[\\x00-\\x1f\\x7f]') AND NOT contains(t, chr(133)) AND NOT ends_with(t, ' ') AS purpose
+FROM (SELECT page_id, {_MARKED} AS t FROM pages)""")
+def p2_source_keys(spark, d):
+    return _marked(Tables(spark, d).pages).select("page_id", P.is_source_key("t", "t").alias("source_key"), P.is_purpose("t").alias("purpose"))
 
 
-@query("""SELECT page_id, NOT contains(p, '\\') AND NOT list_contains(string_split(p, '/'), '') AND NOT list_contains(string_split(p, '/'), '..') AS adapter,
-NOT list_contains(string_split(p, '/'), '') AND NOT list_contains(string_split(p, '/'), '..') AND NOT list_contains(string_split(p, '/'), '.') AS forensic FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN './' WHEN 1 THEN '../' WHEN 2 THEN '' ELSE '/' END || 'a' || page_id AS p FROM pages)""")
-def p13_paths(spark, d):
-    prefix = F.when(F.col("page_id") % 4 == 0, "./").when(F.col("page_id") % 4 == 1, "../").when(F.col("page_id") % 4 == 2, "").otherwise("/")
-    p = F.concat(prefix, F.lit("a"), F.col("page_id").cast("string"))
-    return Tables(spark, d).pages.select("page_id", P.is_adapter_path(p).alias("adapter"), P.is_forensic_path(p).alias("forensic"))
+_MEDIA = "CASE page_id % 7 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/' WHEN 2 THEN 'text' WHEN 3 THEN 'a/b/c' WHEN 4 THEN 'é/x' WHEN 5 THEN 'text/html' || chr(10) ELSE '~a/b' END"
 
 
-@query("""SELECT * FROM (VALUES ('balanced', NULL, 16777216, 16, 'prefer-mmap', 268435456, true, true), ('compact', NULL, 8388608, 4, 'materialize', 134217728, false, true), ('memory', 1, NULL, 1, 'prefer-mmap', 33554432, true, true),
-('speed', NULL, 67108864, 64, 'require-mmap', 1073741824, true, true), ('stream', 1, NULL, 2, 'stream', 8388608, true, true), ('ultra-compact', NULL, 67108864, 0, 'stream', 16777216, false, true)) t(profile, group_rows, group_bytes, prefetch, access, cache_bytes, external, valid)""")
-def p17_plan_ranges(spark, d):
-    return execution.default_plans(spark).withColumn("valid", F.expr(execution.VALID))
+@query(f"""SELECT page_id, regexp_full_match(m, '[^\\x00-\\x20\\x7f/]+/[^\\x00-\\x20\\x7f]+') AS atom, regexp_full_match(m, '[\\x21-\\x2e\\x30-\\x7e]+/[\\x21-\\x7e]+') AS adapter,
+regexp_full_match(m, '[A-Za-z0-9][A-Za-z0-9!#$&^_.+-]{{0,126}}/[A-Za-z0-9][A-Za-z0-9!#$&^_.+-]{{0,126}}') AS blob FROM (SELECT page_id, {_MEDIA} AS m FROM pages)""")
+def p3_media_types(spark, d):
+    m = F.element_at(F.array(*[F.lit(x) for x in ("text/html", "text/", "text", "a/b/c", "é/x", "text/html\n", "~a/b")]), (F.col("page_id") % 7 + 1).cast("int"))
+    return Tables(spark, d).pages.select("page_id", P.is_atom_media(m).alias("atom"), P.is_adapter_media(m).alias("adapter"), P.is_blob_media(m).alias("blob"))
 
 
-@query("SELECT doc_id, lang, source, sha256(text) AS content FROM documents")
-def c2_logical_projection(spark, d):
-    return Tables(spark, d).documents.select("doc_id", "lang", "source", F.sha2("text", 256).alias("content"))
+@query("""SELECT vec_id, CASE WHEN f < 0 THEN NULL WHEN CAST(len(embedding) AS HUGEINT) * f * 4 <= 18446744073709551615::HUGEINT THEN CAST(CAST(len(embedding) AS HUGEINT) * f * 4 AS VARCHAR) END AS bytes
+FROM (SELECT vec_id, embedding, CASE vec_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 9000000000000000000 WHEN 2 THEN -2 ELSE 72057594037927935 END AS f FROM embeddings)""")
+def p4_shape_product(spark, d):
+    factor = F.element_at(F.array(*[F.lit(x).cast("long") for x in (1, 9000000000000000000, -2, 72057594037927935)]), (F.col("vec_id") % 4 + 1).cast("int"))
+    return Tables(spark, d).embeddings.select("vec_id", P.dense_bytes(F.array(F.size("embedding").cast("long"), factor), F.lit("f32")).cast("string").alias("bytes"))
 
 
-@query("SELECT doc_id, h, quality FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents) JOIN labels USING (doc_id)")
-def t2_snapshot_rows(spark, d):
-    t = Tables(spark, d)
-    rows = t.documents.select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
-    return rows.join(t.labels, "doc_id").select("doc_id", "h", "quality")
+@query("""SELECT page_id, NOT contains(p, '\\') AND NOT contains(p, chr(10)) AND NOT list_contains(string_split(p, '/'), '') AND NOT list_contains(string_split(p, '/'), '..') AS adapter,
+NOT list_contains(string_split(p, '/'), '') AND NOT list_contains(string_split(p, '/'), '..') AND NOT list_contains(string_split(p, '/'), '.') AS forensic
+FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN './' WHEN 1 THEN '../' WHEN 2 THEN '' WHEN 3 THEN '/' ELSE '' END || 'a' || page_id || CASE page_id % 5 WHEN 4 THEN chr(10) ELSE '' END AS p FROM pages)""")
+def p13_paths(spark, d):
+    at = (F.col("page_id") % 5 + 1).cast("int")
+    part = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), at)
+    p = F.concat(part("./", "../", "", "/", ""), F.lit("a"), F.col("page_id").cast("string"), part("", "", "", "", "\n"))
+    return Tables(spark, d).pages.select("page_id", P.is_adapter_path(p).alias("adapter"), P.is_forensic_path(p).alias("forensic"))
+
+
+@query("""SELECT p_partkey, (p_size % 3 = 0 OR p_size * 2000 <= 65536) AND (p_size % 3 <> 0 OR p_size * 500 BETWEEN 4096 AND 1073741824) AND p_size * 100 <= 4096 AND NOT (p_size % 4 = 0 AND p_partkey % 5 = 0) AND NOT (p_partkey % 2 = 0 AND p_partkey % 7 = 0) AS valid FROM part""")
+def p17_plan_ranges(spark, d):
+    plans = Tables(spark, d).part.selectExpr(
+        "p_partkey", "if(p_partkey % 7 = 0, 'compact', 'speed') as profile", "if(p_size % 3 = 0, null, p_size * 2000L) as group_rows", "if(p_size % 3 = 0, p_size * 500L, null) as group_bytes", "p_size * 100L as prefetch",
+        "if(p_size % 4 = 0, 'materialize', 'stream') as access", "if(p_partkey % 5 = 0, 0L, 1024L) as cache_bytes", "p_partkey % 2 = 0 as external",
+    )
+    return plans.select("p_partkey", F.expr(execution.VALID).alias("valid"))
 
 
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'absent-at-source' WHEN l.toxic = 1 THEN 'withheld' ELSE 'present' END AS presence FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'absent-at-source' WHEN l.toxic = 1 THEN 'withheld' ELSE 'present' END AS presence,
+(l.doc_id IS NOT NULL AND l.toxic <> 1) = (d.doc_id % 3 <> 0) AS fits FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def t3_label_presence(spark, d):
     t = Tables(spark, d)
     state = F.when(F.col("toxic").isNull(), "absent-at-source").when(F.col("toxic") == 1, "withheld").otherwise("present")
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", state.alias("presence"))
+    told = t.documents.join(t.labels, "doc_id", "left").select("doc_id", state.alias("presence"))
+    return told.withColumn("fits", P.presence_matches("presence", F.col("doc_id") % 3 != 0))
 
 
-@query("SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT lang, sha256(string_agg(g, '' ORDER BY r)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, doc_id // 4096 AS r, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS g, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY lang")
 def t8_window_set_digest(spark, d):
-    return Tables(spark, d).documents.groupBy("lang").agg(setops.ordered_digest(F.sha2("text", 256), F.col("doc_id")).alias("digest"), F.count(F.lit(1)).alias("n"))
+    return training.set_digest(Tables(spark, d).documents, ["lang"], F.sha2("text", 256), "doc_id").select("lang", "digest", "n")
 
 
 @query("SELECT user_id, max(event_id) AS latest, count(*) - 1 AS generation, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -364,9 +390,10 @@ def st1_correction_chain(spark, d):
     return Tables(spark, d).events.groupBy("user_id").agg(F.max("event_id").alias("latest"), (F.count(F.lit(1)) - 1).alias("generation"), F.max_by("event_type", "event_id").alias("event_type"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE ts < p")
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, t, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, ts - CASE WHEN event_id % 50 = 0 THEN INTERVAL 20 DAY ELSE INTERVAL 0 DAY END AS t FROM events)) WHERE t < p")
 def st3_watermark_monotonic(spark, d):
-    return Tables(spark, d).events.withColumn("p", ordered.previous("ts", ["user_id"], ["event_id"])).where("ts < p").select("user_id", "event_id")
+    events = Tables(spark, d).events.withColumn("t", F.expr("if(event_id % 50 = 0, ts - interval 20 days, ts)"))
+    return events.withColumn("p", ordered.previous("t", ["user_id"], ["event_id"])).where("t < p").select("user_id", "event_id")
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -414,21 +441,7 @@ def b14_export_closure(spark, d):
     return store.export_closure(t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node")), _objects(t), _edges(t))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END AS phase FROM pages")
-def b16_restore_phases(spark, d):
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("directory", "regular", "hardlink", "symlink", "socket")]), (F.col("page_id") % 5 + 1).cast("int"))
-    return Tables(spark, d).pages.select("page_id", store.restore_phase(kind).alias("phase"))
-
-
-@query("SELECT doc_id, sha256(text) AS content_id, strlen(text) AS bytes FROM documents LEFT JOIN labels USING (doc_id) WHERE labels.quality IS NOT NULL OR doc_id % 4 = 0")
-def a15_payload_lease(spark, d):
-    t = Tables(spark, d)
-    payloads = t.documents.groupBy(F.sha2("text", 256).alias("content_id")).agg(F.max(F.octet_length("text")).cast("long").alias("bytes"))
-    named = t.documents.join(t.labels, "doc_id", "left").where("quality is not null or doc_id % 4 = 0").select("doc_id", F.sha2("text", 256).alias("content_id"))
-    return store.lease(named, payloads).select("doc_id", "content_id", "bytes")
-
-
-_SNAPSHOTS = """SELECT CAST(user_id % 40 AS VARCHAR) AS subscription_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1 + CASE WHEN event_id % 997 = 0 THEN 1 ELSE 0 END AS sequence,
+_SNAPSHOTS = """SELECT CAST(user_id AS VARCHAR) AS subscription_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + CASE WHEN event_id % 997 = 0 THEN 1 ELSE 0 END AS sequence,
 event_id, event_id + CASE WHEN event_id % 1009 = 0 THEN -3000 ELSE 0 END AS watermark FROM events"""
 _VIOLATIONS = f"""SELECT subscription_id, place AS sequence, CASE WHEN sequence <> place THEN 'sequence' ELSE 'watermark' END AS violation FROM (
 SELECT *, row_number() OVER w - 1 AS place, lag(watermark) OVER w AS mark FROM ({_SNAPSHOTS}) WINDOW w AS (PARTITION BY subscription_id ORDER BY sequence, event_id))
@@ -437,10 +450,10 @@ WHERE sequence <> place OR watermark < mark QUALIFY row_number() OVER (PARTITION
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).events.selectExpr(
-        "cast(user_id % 40 as string) as subscription_id", "row_number() over (partition by user_id % 40 order by event_id) - 1L + if(event_id % 997 = 0, 1L, 0L) as sequence", "event_type as logical_id",
-        "row_number() over (partition by user_id % 40, event_type order by event_id) - 1L as generation", "lpad(event_id, 12, '0') as snapshot_id", "event_id + if(event_id % 1009 = 0, -3000L, 0L) as watermark",
-        "nullif(row_number() over (partition by user_id % 40, event_type order by event_id) - 2L, -1L) as prior_generation",
-        "lag(lpad(event_id, 12, '0')) over (partition by user_id % 40, event_type order by event_id) as prior_snapshot_id",
+        "cast(user_id as string) as subscription_id", "row_number() over (partition by user_id order by event_id) - 1L + if(event_id % 997 = 0, 1L, 0L) as sequence", "event_type as logical_id",
+        "row_number() over (partition by user_id, event_type order by event_id) - 1L as generation", "lpad(event_id, 12, '0') as snapshot_id", "event_id + if(event_id % 1009 = 0, -3000L, 0L) as watermark",
+        "nullif(row_number() over (partition by user_id, event_type order by event_id) - 2L, -1L) as prior_generation",
+        "lag(lpad(event_id, 12, '0')) over (partition by user_id, event_type order by event_id) as prior_snapshot_id",
     )
 
 
@@ -454,7 +467,7 @@ def st5_sealed(spark, d):
     return subscription.sealed(_snapshots(spark, d))
 
 
-@query("SELECT CAST(user_id % 40 AS VARCHAR) AS subscription_id, event_type AS logical_id, count(*) - 1 AS generation, lpad(CAST(max(event_id) AS VARCHAR), 12, '0') AS snapshot_id FROM events GROUP BY 1, 2")
+@query("SELECT CAST(user_id AS VARCHAR) AS subscription_id, event_type AS logical_id, count(*) - 1 AS generation, lpad(CAST(max(event_id) AS VARCHAR), 12, '0') AS snapshot_id FROM events GROUP BY 1, 2")
 def st4_latest(spark, d):
     return subscription.latest(_snapshots(spark, d))
 
