@@ -257,7 +257,7 @@ def companions(t: Tables) -> DataFrame:
     one = F.lit(1).cast("decimal(20,0)")
     fitting = lambda c: F.when(c <= F.lit(str((1 << 64) - 1)).cast("decimal(38,0)"), c.cast("decimal(20,0)"))
     wide = lambda c: c.cast("decimal(38,0)")
-    expected = lambda place, content, wanted, *shape: F.struct(F.lit(place).alias("place"), content.alias("content_id"), F.lit(wanted).alias("wanted"), F.array(*shape).alias("shape"))
+    expected = lambda place, content, wanted, *shape: F.struct("idx", "id", F.lit(place).alias("place"), content.alias("content_id"), F.lit(wanted).alias("wanted"), F.array(*shape).alias("shape"))
     tag, rank = layout["tag"], F.size(p["shape"]).cast("decimal(20,0)")
     rows = fitting(wide(F.get(p["shape"], F.lit(0))) + one)
     blocks = F.when(layout["block_len"] > 0, F.expr("(cast(_extent as decimal(38,0)) + payload.layout.block_len - 1) div payload.layout.block_len").cast("decimal(20,0)"))
@@ -270,7 +270,7 @@ def companions(t: Tables) -> DataFrame:
         F.when((F.col("kind") == "signal-block") & (F.col("time_axis.tag") == "explicit"), expected(2, F.col("time_axis.timestamps"), "i64", F.col("time_axis.count"))),
     ))
     source = t["atoms"].withColumn("_extent", predicates.extent(F.col("payload.shape")))
-    return source.select("dataset", "idx", "id", F.explode(found).alias("e")).select("dataset", "idx", "id", "e.*")
+    return source.select("dataset", F.explode(found).alias("e")).select("dataset", "e.*")
 
 
 def _payloads(t: Tables) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import brindle.queries_model  # noqa: F401
 from brindle.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
