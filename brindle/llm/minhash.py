@@ -8,6 +8,9 @@ signature, so two signatures agree at a coordinate with the probability of their
 similarity. Only as many cells are opened as a document's weight needs, so long documents throw no more
 darts than short ones.
 
+Frequent keys of the inner joins (a band or a hub of many nodes) are left to Spark's adaptive skew join, which splits them once they are
+large; the join of all rows to their classes spreads frequent texts itself.
+
 Equal texts are one node. Nodes that share a band are candidates. In each shared band every node is
 paired with the band's hub, the member whose bands are shared most; pairs are verified on the exact
 weighted Jaccard similarity and verified links joined to components. A band that then still spans
@@ -190,8 +193,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             yield record(schema, column(batch, "a").take(pa.array(good, pa.int64())), column(batch, "b").take(pa.array(good, pa.int64())))
 
     of = lambda c: bags.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}"))
-    pairs = spread_join(spread_join(pairs, of("a"), "a", "b", "inner"), of("b"), "b", "a", "inner")
-    return pairs.select("a", "b", "bag_a", "bag_b").transform(mapped(run, "a long, b long"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "bag_a", "bag_b").transform(mapped(run, "a long, b long"))
 
 
 def _candidates(sig: np.ndarray, keys: np.ndarray, no: np.ndarray, label: np.ndarray, side: np.ndarray, i: int, least: float) -> np.ndarray:
@@ -313,11 +315,10 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id", c
     # every row is signed and copies are dropped after it: moving texts to sign each once would cost more
     signed = checkpointed(_signed(docs.where("node is not null").select("node", "text"), t, bands).dropDuplicates(["node"]))
     all_bands = signed.select(F.posexplode("bands").alias("no", "band"), "node")
-    shared = checkpointed(spread_join(all_bands, all_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band", "node", "inner"))
+    shared = checkpointed(all_bands.join(all_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
     score = shared.groupBy("node").agg(F.sum(F.log("n")).alias("score"))
     hubs = shared.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
-    hub_pairs = spread_join(shared, hubs, "band", "node", "inner").where("node != hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    hub_pairs = checkpointed(hub_pairs.distinct())
+    hub_pairs = shared.join(hubs, "band").where("node != hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     needed = shared.select(F.col("node").alias("_n")).distinct().join(first.withColumnRenamed("node", "_n"), "_n")
     wanted = docs.select("node", "_id", "text").join(needed, (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
     bags = checkpointed(_bags(wanted.select("node", "text")).dropDuplicates(["node"]))
