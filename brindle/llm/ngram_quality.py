@@ -322,6 +322,19 @@ def base_figures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def with_base_figures(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """df's columns (or those in `carry`) with the base figures alone."""
+    carry = kept_columns(df, carry, FIGURES)
+    source = df.select(packed(carry), F.coalesce(named(text), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(column(batch, "text")):
+                yield pa.RecordBatch.from_arrays([column(batch.slice(lo, hi - lo), ROW), *map(pa.array, base_figures(data, offsets))], names=[ROW, *FIGURES])
+
+    return unpacked(source.transform(mapped(run, with_fields(source, [ROW], ", ".join(f"{c} long" for c in FIGURES)))), carry, *FIGURES)
+
+
 def _scored_batch(batch: pa.RecordBatch, groups: np.ndarray, arrays_of: dict[int, Arrays]) -> Iterator[pa.RecordBatch]:
     for lo, hi, data, offsets in text_slices(column(batch, "text")):
         found = base_figures(data, offsets)
