@@ -17,8 +17,10 @@ from .model import tables as model
 from .model.exact import total_samples
 from .operators import graph
 from .plans import execution
-from .queries import ORACLES, QUERIES, Tables, query
+from .queries import _SNAPSHOTS as _SNAPSHOTS_SQL
+from .queries import ORACLES, QUERIES, Tables, _snapshots, query
 from .sources import adapters, bundles, container, profiles, store
+from .streaming import subscription
 from .training import records
 from .training import tables as training
 
@@ -424,6 +426,11 @@ def p6_training_extents(spark, d):
     return rows.select("snapshot", "logical_id", P.training_extent_fault(F.col("shape"), F.col("element"), F.col("byte_order"), F.col("logical_bytes")).alias("fault"))
 
 
+@query(f"SELECT subscription_id, count(*) AS events, max(CASE violation WHEN 'sequence' THEN 'invalid-subscription-sequence' WHEN 'watermark' THEN 'non-monotonic-watermark' END) AS code FROM (SELECT s.subscription_id, v.violation FROM ({_SNAPSHOTS_SQL}) s LEFT JOIN ({ORACLES['st1_first_violations']}) v USING (subscription_id)) GROUP BY 1")
+def st2_closed_subscriptions(spark, d):
+    return subscription.closed(_snapshots(spark, d)).select("subscription_id", "events", "code")
+
+
 # sources
 
 

@@ -6,6 +6,7 @@ logical_id, generation, snapshot_id, watermark, prior_generation, prior_snapshot
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.ident import Names
+from ..training import records
+
 SNAPSHOT = "subscription_id string, sequence long, logical_id string, generation long, snapshot_id string, watermark long, prior_generation long, prior_snapshot_id string"
 CHECKED = f"{SNAPSHOT}, violation string"
 
@@ -96,3 +100,31 @@ def sealed(snapshots: DataFrame) -> DataFrame:
     """Subscriptions without a violation, their length and the newest watermark; only these count as evidence."""
     whole = snapshots.groupBy("subscription_id").agg(F.count(F.lit(1)).alias("events"), F.max("watermark").alias("watermark"))
     return whole.join(first_violations(snapshots), "subscription_id", "left_anti")
+
+
+def closed(snapshots: DataFrame, names: Names = Names()) -> DataFrame:
+    """Subscriptions as sealed records: subscription_id, its identity and events, or the code of the fault that keeps it open.
+
+    The id of a subscription here is any text; its content key is the SHA-256 of it. A record is one document of at most 16 MiB: a log that is larger
+    is not gathered but is a resource-bound fault.
+    """
+    width = 420  # no event is longer
+    sizes = snapshots.groupBy("subscription_id").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") * width > records.CATALOG_BYTES).select("subscription_id")
+    small = snapshots.join(large, "subscription_id", "left_anti")
+    key = lambda text: hashlib.sha256(str(text).encode()).hexdigest()
+
+    def seal(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        events = []
+        for r in rows.astype(object).sort_values("sequence", kind="stable").itertuples(index=False):
+            corrects = not pd.isna(r.prior_generation) and r.prior_snapshot_id is not None
+            correction = {"prior_generation": int(r.prior_generation), "prior_snapshot_id": key(r.prior_snapshot_id)} if corrects else None
+            events.append({"correction": correction, "generation": int(r.generation), "logical_id": key(r.logical_id), "sequence": int(r.sequence), "snapshot_id": key(r.snapshot_id), "watermark": int(r.watermark)})
+        try:
+            made = records.close_subscription(key(name[0]), events, names)
+            return pd.DataFrame({"subscription_id": [name[0]], "events": [len(events)], "identity": [records.subscription_id(made, names)], "code": [None]})
+        except records.TrainingError as error:
+            return pd.DataFrame({"subscription_id": [name[0]], "events": [len(events)], "identity": [None], "code": [error.code]})
+
+    sealed_ = small.groupBy("subscription_id").applyInPandas(seal, "subscription_id string, events long, identity string, code string")
+    return sealed_.unionByName(sizes.join(large, "subscription_id").select("subscription_id", F.col("n").alias("events"), F.lit(None).cast("string").alias("identity"), F.lit("resource-bound").alias("code")))
