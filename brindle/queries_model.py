@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from .functions import predicates as P
 from .functions.ident import Names, blake3_hex, canonical_json, payload_id
@@ -283,10 +282,10 @@ def v30_fidelity(spark, d):
 _RULES = ("v8_stream_membership", "v10_stream_clock", "v12_atom_rules", "v14_missing_companions", "v15_companion_rules", "v13_table_clock", "v16_clock_numbers", "v17_clock_parents", "v19_frames", "v20_clock_relations", "v21_frame_transforms", "v22_events", "v23_artifacts", "v25_channel_frames", "v26_policies", "v28_proofs", "v30_fidelity")
 
 
-@query(" UNION ALL ".join(f"SELECT '{name.split('_')[0]}' AS rule, count(*) AS n FROM ({ORACLES[name]})" for name in _RULES))
-def v_rule_counts(spark, d):
-    parts = [QUERIES[name](spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name.split("_")[0]).alias("rule"), "n") for name in _RULES]
-    return rules.union(parts)
+@query(" UNION ALL ".join(f"SELECT '{name.split('_')[0]}' AS rule, dataset, code, path, related FROM ({ORACLES[name]})" for name in _RULES))
+def v_dataset_report(spark, d):
+    """The failures of all these rules in one table, as one plan."""
+    return rules.union([QUERIES[name](spark, d).select(F.lit(name.split("_")[0]).alias("rule"), "dataset", "code", "path", "related") for name in _RULES])
 
 
 @query("SELECT DISTINCT 'x' AS dataset, c AS content_id FROM (SELECT 'r' || l_orderkey AS c FROM lineitem UNION ALL SELECT 'f' || l_orderkey FROM lineitem)")
@@ -516,9 +515,8 @@ def a1_document_failures(spark, d):
 @query("SELECT page_id, octet_length(encode(html)) AS length, 'text/html' AS media_type, sha256(html) AS digest FROM pages")
 def a5_blob_round_trip(spark, d):
     """Pages are written as blob files and read back."""
-    made = F.udf(lambda html: bundles.encode_blob(FMT, html.encode(), "text/html"), BinaryType())
-    files = Tables(spark, d).pages.select(F.col("page_id").cast("string").alias("path"), made("html").alias("content"))
-    found = bundles.read_root(files, FMT, "blob")
+    files = Tables(spark, d).pages.select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("data"))
+    found = bundles.read_root(bundles.encode_blobs(files, FMT, "text/html"), FMT, "blob")
     return found.select(F.col("file").cast("long").alias("page_id"), "length", "media_type", F.sha2("data", 256).alias("digest"))
 
 

@@ -37,16 +37,29 @@ class Format(NamedTuple):
     footer_magic: bytes
     names: Names = Names()
     family: str = "container"
+    known: dict[bytes, bytes] = {}  # hashes of messages that were computed together beforehand
+
+    def hash(self, message: bytes) -> bytes:
+        return self.known.get(message) or blake3(message)
+
+    def knowing(self, messages: Iterable[bytes]) -> Format:
+        """The format with the hashes of all messages, computed side by side."""
+        distinct = list(dict.fromkeys(messages))
+        return self._replace(known=dict(zip(distinct, hash_many(distinct), strict=True)))
+
+    def frame_messages(self, data: bytes) -> list[bytes]:
+        """What is hashed for a raw frame."""
+        return [data, self.domain("raw-content") + data, self.domain("raw-storage") + data]
 
     def domain(self, what: str) -> bytes:
         return self.names.of(f"{self.family}.{what}")
 
     def storage_id(self, data: bytes) -> bytes:
-        return blake3(self.domain("storage") + data)
+        return self.hash(self.domain("storage") + data)
 
     def raw_ids(self, data: bytes) -> tuple[bytes, bytes]:
         """Content and storage identity of raw bytes."""
-        return tuple(hash_many([self.domain("raw-content") + data, self.domain("raw-storage") + data]))
+        return self.hash(self.domain("raw-content") + data), self.hash(self.domain("raw-storage") + data)
 
 
 class Bounds(NamedTuple):
@@ -124,9 +137,9 @@ def decode_catalog(data: bytes) -> tuple[bytes, bytes, list[bytes]]:
 
 
 def _index(fmt: Format, catalog: bytes, frames: list[tuple[bytes, bytes, int, int, bytes]], start: int) -> bytes:
-    out = [fmt.index_magic, struct.pack("<II", len(frames), 0), blake3(catalog)]
+    out = [fmt.index_magic, struct.pack("<II", len(frames), 0), fmt.hash(catalog)]
     for content_id, storage_id, kind, element, data in frames:
-        out.append(content_id + storage_id + struct.pack("<QQBB14x", start, len(data), kind, element) + blake3(data))
+        out.append(content_id + storage_id + struct.pack("<QQBB14x", start, len(data), kind, element) + fmt.hash(data))
         start += len(data)
     return b"".join(out)
 
@@ -140,7 +153,7 @@ def raw_frame(fmt: Format, data: bytes) -> Frame:
 
 def semantic_frame(fmt: Format, element: str, data: bytes) -> Frame:
     """Payload bytes under their semantic identity."""
-    return blake3(fmt.names.payload(element) + data), fmt.raw_ids(data)[1], SEMANTIC, ELEMENTS.index(element) + 1, data
+    return fmt.hash(fmt.names.payload(element) + data), fmt.hash(fmt.domain("raw-storage") + data), SEMANTIC, ELEMENTS.index(element) + 1, data
 
 
 def embedded_frame(fmt: Format, data: bytes, bounds: Bounds = Bounds()) -> Frame:
@@ -297,7 +310,7 @@ def parse(fmt: Format, data: bytes, bounds: Bounds = Bounds()) -> dict:
     document, catalog_root, references = decode_catalog(catalog)
     if catalog_root != root:
         raise ContainerError("root of the catalog")
-    if len(index) < INDEX_HEAD or index[:8] != fmt.index_magic or index[12:16] != bytes(4) or index[16:48] != blake3(catalog):
+    if len(index) < INDEX_HEAD or index[:8] != fmt.index_magic or index[12:16] != bytes(4) or index[16:48] != fmt.hash(catalog):
         raise ContainerError("index head")
     count = int.from_bytes(index[8:12], "little")
     if count > min(n_most, bounds.entries) or len(index) != INDEX_HEAD + count * INDEX_ENTRY:
@@ -309,7 +322,7 @@ def parse(fmt: Format, data: bytes, bounds: Bounds = Bounds()) -> dict:
         body = data[offset : offset + length]
         if offset != at or length > min(f_most, bounds.frame) or offset + length > i_at or entry[82:96] != bytes(14):
             raise ContainerError("frame extent")
-        if entry[:32] <= before or entry[96:] != blake3(body):
+        if entry[:32] <= before or entry[96:] != fmt.hash(body):
             raise ContainerError("frame order or digest")
         if frame_kind not in (EMBEDDED, RAW, SEMANTIC) or (frame_kind == SEMANTIC) != (1 <= element <= 15) or frame_kind != SEMANTIC and element:
             raise ContainerError("frame kind")
@@ -327,6 +340,20 @@ def parse(fmt: Format, data: bytes, bounds: Bounds = Bounds()) -> dict:
             "document": document.decode(), "references": references, "frames": frames}
 
 
+def messages_of(fmt: Format, data: bytes) -> list[bytes]:
+    """What parse() hashes of a sealed file, as far as its envelope can be believed; wrong guesses only cost time."""
+    out = [fmt.domain("storage") + data]
+    if len(data) >= ENVELOPE:
+        c_at, c_n, i_at, i_n = struct.unpack_from("<QQQQ", data, 56)
+        out.append(data[c_at : c_at + c_n])
+        index = data[i_at : i_at + i_n]
+        for at in range(INDEX_HEAD, len(index) - INDEX_ENTRY + 1, INDEX_ENTRY):
+            offset, length, kind, _ = struct.unpack_from("<QQBB", index, at + 64)
+            if kind == RAW and length <= len(data):
+                out += fmt.frame_messages(data[offset : offset + length])
+    return out
+
+
 FRAMES = "array<struct<content_id: binary, storage_id: binary, kind: int, element: int, offset: long, length: long, data: binary>>"
 READ = f"path string, storage_id binary, profile long, root_kind int, generation long, root_id binary, document string, references array<binary>, frames {FRAMES}, error string"
 
@@ -336,9 +363,10 @@ def read_containers(spark: SparkSession, path: str, fmt: Format, payloads: bool
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            ready = fmt.knowing(m for content in batch["content"] for m in messages_of(fmt, bytes(content)))
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    found = parse(fmt, bytes(content), bounds) | {"error": None}
+                    found = parse(ready, bytes(content), bounds) | {"error": None}
                     del found["contract"]
                     if not payloads:
                         found["frames"] = [f | {"data": None} for f in found["frames"]]
@@ -359,8 +387,8 @@ def encode_containers(datasets: DataFrame, fmt: Format, profile: int = profiles.
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for root, document, refs, payloads in batch.itertuples(index=False):
-                made = encode(fmt, document.encode(), bytes(root), [bytes(r) for r in ([] if refs is None else refs)], [bytes(p) for p in ([] if payloads is None else payloads)], profile)
-                yield pd.DataFrame({"root_id": [root], "artifact": [made]})
+            listed = [(bytes(root), document.encode(), [bytes(r) for r in ([] if refs is None else refs)], [bytes(p) for p in ([] if payloads is None else payloads)]) for root, document, refs, payloads in batch.itertuples(index=False)]
+            ready = fmt.knowing(m for root, document, refs, payloads in listed for m in (encode_catalog(document, root, refs), *(x for p in payloads for x in fmt.frame_messages(p))))
+            yield pd.DataFrame([(root, encode(ready, document, root, refs, payloads, profile)) for root, document, refs, payloads in listed], columns=["root_id", "artifact"])
 
     return datasets.select("root_id", "document", "references", "payloads").mapInPandas(rows, "root_id binary, artifact binary")

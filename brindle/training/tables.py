@@ -92,13 +92,19 @@ def seal_snapshots(headers: DataFrame, rows: DataFrame, labels: DataFrame, names
     label = labels.select("snapshot", F.lit("label").alias("part"), F.to_json(F.struct("concept", "logical_id", "payload", "presence"), {"ignoreNullFields": "false"}).alias("body"))
     good = header.unionByName(body).unionByName(label).join(bad.select("snapshot"), "snapshot", "left_anti")
 
-    def seal(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        parts = {p: [json.loads(b) for b in g["body"]] for p, g in group.groupby("part")}
-        h = parts["header"][0]
-        out = records.seal_snapshot(h["dataset_roots"], h["spec_id"], h["profile"], parts.get("row", []), h["decision_log_id"], parts.get("label", []), names)
-        return pd.DataFrame({"snapshot": [key[0]], "snapshot_id": [records.snapshot_id(out, names)], "catalog": [canonical_json(out)]})
+    gathered = good.groupBy("snapshot").agg(*[F.collect_list(F.when(F.col("part") == part, F.col("body"))).alias(part) for part in ("header", "row", "label")])
 
-    sealed = good.groupBy("snapshot").applyInPandas(seal, "snapshot string, snapshot_id string, catalog string")
+    def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, header, body, label in batch.itertuples(index=False):
+                h = json.loads(header[0])
+                made = records.seal_snapshot(h["dataset_roots"], h["spec_id"], h["profile"], list(map(json.loads, body)), h["decision_log_id"], list(map(json.loads, label)), names)
+                out.append((name, made))
+            ids = records.identities(names, [(records.snapshot_domain(s), s) for _, s in out])
+            yield pd.DataFrame({"snapshot": [n for n, _ in out], "snapshot_id": ids, "catalog": [canonical_json(s) for _, s in out]})
+
+    sealed = gathered.mapInPandas(seal, "snapshot string, snapshot_id string, catalog string")
     null = F.lit(None).cast("string")
     return sealed.select("snapshot", null.alias("code"), null.alias("key"), "snapshot_id", "catalog").unionByName(bad.select("snapshot", "code", "key", null.alias("snapshot_id"), null.alias("catalog")))
 
@@ -108,12 +114,15 @@ def spec_identities(specs: DataFrame, names: Names = Names(), column: str = "spe
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            made: list = []
             for text in batch[column]:
                 try:
-                    out.append((text, records.spec_id(json.loads(text), names), None))
+                    made.append(records.normal_spec(json.loads(text)))
                 except records.TrainingError as error:
-                    out.append((text, None, error.code))
+                    made.append(error)
+            good = [("spec-v1", m) for m in made if isinstance(m, dict)]
+            ids = iter(records.identities(names, good))
+            out = [(text, next(ids), None) if isinstance(m, dict) else (text, None, m.code) for text, m in zip(batch[column], made, strict=True)]
             yield pd.DataFrame(out, columns=[column, "spec_id", "error"])
 
     return specs.select(column).mapInPandas(rows, f"{column} string, spec_id string, error string")
