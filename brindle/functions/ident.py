@@ -80,7 +80,3 @@ def payload_id(element: Column, data: Column, names: Names = Names()) -> Column:
 
 def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def sha256_id(c: Column) -> Column:
-    return F.sha2(c.cast("binary"), 256)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import predicates as P
 from .operators import graph, integrity, ordered, ordered_stream, setops
 from .plans import execution
-from .sources import store
+from .sources import adapters, store
 from .streaming import subscription
 from .training import tables as training
 
@@ -406,10 +406,19 @@ def st_sessions(spark, d):
     return Tables(spark, d).events.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-@query("SELECT doc_id, quality = 1 AND toxic = 0 AS pass, CASE WHEN quality = 1 AND toxic = 0 THEN 'semantic' ELSE 'forensic' END AS promoted FROM labels")
+_RECEIPTS = """SELECT doc_id AS receipt, CASE WHEN doc_id % 10 = 0 THEN 'none' WHEN doc_id % 2 = 0 THEN 'p2' ELSE 'p1' END AS profile, CASE WHEN doc_id % 8 = 0 THEN '2' ELSE '1' END AS edition, CASE WHEN doc_id % 3 = 0 THEN 'reject' ELSE 'accept' END AS expected_outcome,
+quality = 1 AS internal_valid, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN toxic = 1 THEN 'reject' ELSE 'accept' END AS observed_outcome, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 3 <> 0 OR doc_id % 2 = 0 END AS expected_outcome_observed,
+CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'advice' ELSE 'conformance' END AS authority, doc_id % 5 <> 0 AS pass, doc_id % 4 = 1 AS promoted FROM labels"""
+
+
+@query(f"""WITH r AS (SELECT *, CASE profile WHEN 'p1' THEN 'semantic' WHEN 'p2' THEN 'forensic' END AS status, internal_valid = (expected_outcome = 'accept') AS internal, coalesce(observed_outcome = expected_outcome AND expected_outcome_observed AND authority = 'conformance', false) AS independent FROM ({_RECEIPTS}))
+SELECT receipt, ord, fault FROM (SELECT receipt, 0 AS ord, 'profile-not-registered' AS fault FROM r WHERE status IS NULL UNION ALL SELECT receipt, 1, 'edition' FROM r WHERE status IS NOT NULL AND edition <> '1' UNION ALL SELECT receipt, 2, 'internal-outcome' FROM r WHERE NOT internal
+UNION ALL SELECT receipt, 3, 'observed-outcome' FROM r WHERE expected_outcome_observed <> (observed_outcome = expected_outcome) UNION ALL SELECT receipt, 4, 'pass' FROM r WHERE pass <> (internal AND independent)
+UNION ALL SELECT receipt, 5, 'promotion' FROM r WHERE promoted <> (internal AND independent AND coalesce(status = 'semantic', false)))""")
 def x1_receipt_logic(spark, d):
-    ok = F.expr("quality = 1 and toxic = 0")
-    return Tables(spark, d).labels.select("doc_id", ok.alias("pass"), F.when(ok, "semantic").otherwise("forensic").alias("promoted"))
+    Tables(spark, d).labels.createOrReplaceTempView("labels")
+    registered = spark.createDataFrame([("p1", "1", "semantic"), ("p2", "1", "forensic")], "profile string, edition string, status string")
+    return adapters.receipt_faults(spark.sql(_RECEIPTS), registered)
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS storage_id FROM documents WHERE doc_id % 3 = 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY 2")

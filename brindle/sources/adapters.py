@@ -93,6 +93,27 @@ def registry_faults(profiles: DataFrame) -> DataFrame:
     return profiles.join(twice, F.col("id") == F.col("_id"), "left").select("id", fault.alias("fault")).where("fault is not null").distinct()
 
 
+def receipt_faults(receipts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """receipt, ord and fault of every way in which a validation receipt disagrees with itself or with the registry (profile, edition, status).
+
+    receipts has receipt, profile, edition, expected_outcome, internal_valid, observed_outcome, expected_outcome_observed and authority (the last three null
+    without independent evidence), pass and promoted. A receipt passes if the adapter and an independent conformance authority both saw the expected
+    outcome; a profile is promoted if it passes and is registered as semantic.
+    """
+    known = profiles.select(F.col("profile").alias("_profile"), F.col("edition").alias("_edition"), F.col("status").alias("_status"))
+    met = receipts.join(F.broadcast(known), F.col("profile") == F.col("_profile"), "left")
+    internal = F.col("internal_valid") == (F.col("expected_outcome") == "accept")
+    saw = F.col("observed_outcome") == F.col("expected_outcome")
+    passes = internal & F.coalesce(saw & F.col("expected_outcome_observed") & (F.col("authority") == "conformance"), F.lit(False))
+    promoted = passes & F.coalesce(F.col("_status") == "semantic", F.lit(False))
+    tests = [
+        (F.col("_profile").isNull(), "profile-not-registered"), (F.col("edition") != F.col("_edition"), "edition"), (~internal, "internal-outcome"), (F.col("expected_outcome_observed") != saw, "observed-outcome"),
+        (F.col("pass") != passes, "pass"), (F.col("promoted") != promoted, "promotion"),
+    ]
+    faults = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(i).alias("ord"), F.lit(name).alias("fault"))) for i, (test, name) in enumerate(tests)]))
+    return met.select("receipt", F.explode(faults).alias("f")).select("receipt", "f.ord", "f.fault")
+
+
 def is_path(path: str) -> bool:
     return bool(path) and "\\" not in path and not any(map(is_control, path)) and not {"", ".."} & set(path.split("/"))
 

@@ -269,6 +269,14 @@ def test_limits(broken):
     assert got == ["recordings", "streams", "atoms", "metadata_bytes", "catalog_records", "source_relationships", "governance_records"]
 
 
+def test_failure_records_and_proofs(spark, broken):
+    record = rules.failure_record(rules.report(broken[0], LIMITS, only=("v30",))).first()
+    assert (record.severity, record.origin, record.retry_class) == ("error", "validation", "after-correction")
+    subject = F.struct(F.lit("policy").alias("kind"), F.lit("x").alias("id"))
+    told = spark.range(1).select(rules.satisfies(F.lit("a:b"), subject, F.lit("a:b"), subject), rules.satisfies(F.lit("a:b"), subject, F.lit("a:c"), subject), rules.misused(F.lit(f"{NS}:proof/derivation"), F.lit("policy"), Names()), rules.misused(F.lit("a:proof/derivation"), F.lit("policy"), Names()))
+    assert tuple(told.first()) == (True, False, True, False)
+
+
 def test_views(broken):
     t = broken[0]
     wanted = t["datasets"].where("dataset = 'valid'").select("dataset", F.explode(F.array(F.lit(i(0x40)), F.lit(i(0x42)), F.lit(MISSING))).alias("id"))
