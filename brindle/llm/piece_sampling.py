@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentation by forward filtering and backward sampling, and lossless decoding.
 
-A piece of rank r has the weight 1 / (r + offset) ** sharpness; a segmentation has the product of its
-pieces' weights. The lattice of a text falls apart where no piece can cross: before a run of spaces and
+A piece of rank r has the weight 1 / (r + offset) ** sharpness, both parameters: the public model file is one of merges, so it gives ranks and
+no probabilities, and a rank law stands for those. A segmentation has the product of its pieces' weights. The lattice of a text falls apart where no piece can cross: before a run of spaces and
 around characters that are in no piece. Equal parts of a slice share one forward pass, which sums the
 weights of all segmentations of each prefix and keeps, for each end, the cumulative shares of its last
 piece's lengths. Backward sampling then walks every occurrence from its end; the draw at a character
