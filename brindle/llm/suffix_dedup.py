@@ -14,7 +14,8 @@ splits, and drops settled intervals. No suffix is sorted again. Intervals that s
 
 Anchors that a sample of the documents shows in many contexts (a common passage) are hot: their strings
 are cut into single windows, each dealt by its own hash, so a passage in a third of all documents is
-spread over all tasks. The sample only chooses this form; results do not depend on it.
+spread over all tasks. The sample only chooses this form; results do not depend on it. An anchor that the sample missed and that still has more than
+LARGE_GROUP strings to compare is found by counting and takes the same form afterwards, so no group of strings is merged whole in one task because it is frequent.
 
 Documents are ordered by id, nulls first. Rows of equal id are told apart, and ordered, by the hash of
 their text; wholly equal rows are one document and get one result. Null texts are empty. Texts below
@@ -44,6 +45,7 @@ HOT_CONTEXTS = 24
 HOT_MOST = 1 << 16
 ROWS_A_FLUSH = 600_000
 MERGE_BYTES = 1 << 17
+LARGE_GROUP = 20_000  # strings of one anchor that are still merged as one group
 SHARD_BYTES = 1 << 15
 
 _VALUE = np.random.RandomState(104729).randint(1, 2**63 - 1, 256).astype(U64)
@@ -393,6 +395,40 @@ def _compared(candidates: DataFrame, length: int, parts: int) -> DataFrame:
     return candidates.repartition(parts, "anchor").sortWithinPartitions("anchor").transform(mapped(run, "doc long, start long, windows long"))
 
 
+def _windows_compared(strings: DataFrame, length: int, parts: int) -> DataFrame:
+    """Repeats among strings (doc, start, string) of any anchors: every window is dealt by its own hash, and all but its first place are repeats."""
+    schema = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("doc", pa.int64()), ("start", pa.int64())])
+    found = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start = column(batch, "doc").to_numpy(), column(batch, "start").to_numpy()
+            raw = column(batch, "string").to_pylist()
+            for lo in range(0, len(raw), 256):
+                some = raw[lo : lo + 256]
+                sizes = np.fromiter(map(len, some), np.int64, len(some))
+                at = np.cumsum(sizes) - sizes
+                n = sizes - length + 1
+                rows, each, form, one, two = _single_windows(np.frombuffer(b"".join(some), np.uint8), (np.arange(lo, lo + len(some)), at, _pack(start[lo : lo + len(some)], n * 0, n * 0, n)), length)
+                yield record(schema, as_long(one), as_long(two), doc[rows], _start_and_windows(form)[0])
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None
+        for batch in batches:
+            one, two, doc, start = (c.to_numpy() for c in batch.columns)
+            if not len(one):
+                continue
+            new = np.ones(len(one), bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            new[0] = last != (one[0], two[0])
+            last = (one[-1], two[-1])
+            yield record(found, *_joined_runs(doc[~new], start[~new], np.ones(int((~new).sum()), np.int64)))
+
+    windows = strings.select("doc", "start", "string").transform(mapped(cut, "one long, two long, doc long, start long"))
+    dealt = windows.repartition(parts, "one", "two").sortWithinPartitions("one", "two", "doc", "start")
+    return dealt.transform(mapped(firsts, "doc long, start long, windows long"))
+
+
 def _cut_strings(candidates: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The candidates (anchor, doc, start, windows) with their bytes."""
     schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("string", pa.binary())])
@@ -442,7 +478,14 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", le
     parts = parts_for(df)
     marks = checkpointed(_marks(_strings(docs, length, hot_anchors(docs, length)), length, parts))
     _drop_shuffles(df)
-    compared = checkpointed(_compared(_cut_strings(marks.where("anchor is not null"), docs, length), length, parts))
+    candidates = marks.where("anchor is not null")
+    large = checkpointed(candidates.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE_GROUP).select("anchor"))
+    if large.isEmpty():
+        compared = checkpointed(_compared(_cut_strings(candidates, docs, length), length, parts))
+    else:
+        grouped = _compared(_cut_strings(candidates.join(large, "anchor", "left_anti"), docs, length), length, parts)
+        single = _windows_compared(_cut_strings(candidates.join(large, "anchor", "left_semi"), docs, length), length, parts)
+        compared = checkpointed(grouped.unionAll(single))
     _drop_shuffles(df)
     spans = marks.where("anchor is null").select("doc", "start", "windows").unionAll(compared)
     per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("_found"))
