@@ -308,7 +308,7 @@ def c5_typed_lookup(spark, d):
     return found.select("id", F.col("record.idx").alias("idx"))
 
 
-@query("SELECT user_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE sum(event_id) END AS samples FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(CASE WHEN user_id % 4 = 0 THEN NULL ELSE sum(event_id) END AS BIGINT) AS samples FROM events GROUP BY user_id")
 def g4_sample_count(spark, d):
     t = Tables(spark, d)
     big = F.when(F.col("user_id") % 4 == 0, F.lit("18446744073709551615").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
@@ -433,7 +433,7 @@ def st2_closed_subscriptions(spark, d):
 # sources
 
 
-@query("SELECT vec_id, c AS profile, k AS root_kind, CASE c WHEN 65537 THEN k IN (1, 2, 6) WHEN 327682 THEN k IN (5, 6) ELSE false END AS accepted FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 65537 WHEN 1 THEN 327682 ELSE 7 END AS c, vec_id % 6 + 1 AS k FROM embeddings)")
+@query("SELECT vec_id, CAST(c AS BIGINT) AS profile, k AS root_kind, CASE c WHEN 65537 THEN k IN (1, 2, 6) WHEN 327682 THEN k IN (5, 6) ELSE false END AS accepted FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 65537 WHEN 1 THEN 327682 ELSE 7 END AS c, vec_id % 6 + 1 AS k FROM embeddings)")
 def p16_profile_acceptance(spark, d):
     rows = Tables(spark, d).embeddings.selectExpr("vec_id", "element_at(array(65537L, 327682L, 7L), cast(vec_id % 3 + 1 as int)) as profile", "cast(vec_id % 6 + 1 as int) as root_kind")
     return profiles.with_profile(rows).select("vec_id", "profile", F.col("root_kind").cast("long").alias("root_kind"), "accepted")
