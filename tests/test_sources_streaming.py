@@ -1,5 +1,6 @@
 """Containers and the store against hand-made files; the streamed subscription against its batch twin and fixed verdicts."""
 
+import os
 import random
 
 import pytest
@@ -131,3 +132,22 @@ def test_subscription_stream_and_batch_agree(spark, tmp_path):
     assert len(got) == len(rows)
     clean = {k: v for k, v in want.items() if k[0] not in first}
     assert {k: got[k] for k in clean} == clean and {s: next((got[k] for k in sorted(got) if k[0] == s and got[k]), None) for s in first} == first
+
+
+def test_generation_sink(spark, tmp_path):
+    from brindle.model import build, document
+    from brindle.streaming import generations as G
+
+    made = lambda n: document.debug_json(build.empty(f"{n:032x}"))
+    rows = [("a", 0, made(1)), ("b", 0, made(2)), ("a", 1, made(3)), ("a", 2, made(1)), ("b", 1, made(2))]
+    source, out = tmp_path / "in", tmp_path / "out"
+    out.mkdir()
+    for i in (0, 3):
+        spark.createDataFrame(rows[i : i + 3], "name string, sequence long, document string").coalesce(1).write.mode("append").json(str(source))
+    stream = spark.readStream.schema("name string, sequence long, document string").option("maxFilesPerTrigger", 1).json(str(source))
+    G.generation_sink(stream, str(out), FMT).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    a, b = ((out / f"{n}{G.SUFFIX}").read_bytes() for n in "ab")
+    assert [len(C.generations(FMT, x)) for x in (a, b)] == [3, 1] and C.parse(FMT, a)["document"] == made(1)
+    again = G.append_datasets(spark.createDataFrame(rows[3:], "name string, sequence long, document string"), str(out), FMT)
+    assert {r["name"]: (r["new"], r["generations"]) for r in again.collect()} == {"a": (0, 3), "b": (0, 1)}
+    assert sorted(os.listdir(out)) == [f"a{G.SUFFIX}", f"b{G.SUFFIX}"]
