@@ -208,10 +208,19 @@ def test_quality(docs, rows):
         assert r.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_language_model_sums_to_one():
-    codes = np.unique(np.random.RandomState(1).randint(0, ngram_quality.STRINGS, 5000))
-    table = ngram_quality.expand(ngram_quality.fit(codes, np.arange(len(codes)) % 7 + 1))
-    assert np.allclose(np.exp(table).reshape(-1, ngram_quality.SYMBOLS).sum(axis=1), 1, atol=1e-3)
+def test_language_model_sums_to_one(spark):
+    """After any context, known or not, the known code points and one unseen one share the whole probability."""
+    rng = np.random.RandomState(1)
+    alphabet = "abcdeé語 "
+    docs = spark.createDataFrame([("".join(rng.choice(list(alphabet), 300)), "xx", 0)], "text string, lang string, half int")
+    table = ngram_quality.hashed(ngram_quality.kneser_ney(ngram_quality.count_strings(docs))).toArrow()
+    keys, values = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+    order = np.argsort(keys)
+    for context in ("abc", "zzz", "語é ", "aaz"):
+        texts = [(context + c).encode() for c in [*alphabet, "Q"]]
+        hi, lo, _ = ngram_quality.strings_of(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        last = np.arange(3, len(hi), 4)
+        assert abs(np.exp(ngram_quality.log_probabilities(hi[last], lo[last], (keys[order], values[order]))).sum() - 1) < 1e-4
 
 
 def test_weak_quality(spark, docs, rows):
