@@ -47,11 +47,9 @@ def test_language(docs, rows, spark):
     assert set(told.values()) == {"en", "de"}
 
 
-@pytest.mark.parametrize("hot", [None, 1, "large"])
+@pytest.mark.parametrize("hot", [None, 1])
 def test_suffix_dedup(spark, rows, hot, monkeypatch):
-    if hot == "large":
-        monkeypatch.setattr(suffix_dedup, "LARGE_GROUP", 1)
-    elif hot:
+    if hot:
         monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
         monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 2)
     unique = list(dict.fromkeys((r[0], r[1]) for r in rows if r[0] != 3))
